@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -35,9 +37,10 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     path = os.path.join(folder, n)
                     z.write(path, os.path.relpath(path, os.path.dirname(here)))
-    with tempfile.TemporaryDirectory() as d:  # Spark's file server copies it at once
-        path = os.path.join(d, "phasegrid.zip")
-        with open(path, "wb") as f:
-            f.write(raw.getvalue())
-        spark.sparkContext.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="phasegrid-")  # the driver's file server reads it as long as the application lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "phasegrid.zip")
+    with open(path, "wb") as f:
+        f.write(raw.getvalue())
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
