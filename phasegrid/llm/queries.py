@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm.bpe import bpe_round_trip
+from phasegrid.llm.fingerprint import fingerprint_documents, to_hex
 from phasegrid.llm.mixing import mix_sources
 from phasegrid.llm.simhash import simhash_dedup
 from phasegrid.llm.substring import substring_dedup
@@ -28,6 +29,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint_documents(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", to_hex(F.col("lanes")).alias("fingerprint"), to_hex(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -55,7 +61,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op3_warc, op4_substring_dedup, op6_bpe, op7_mixing, op8_simhash_dedup)
+    f.__name__: _shipped(f) for f in (op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
