@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.bpe import bpe_round_trip
 from phasegrid.llm.fingerprint import fingerprint_documents, to_hex
+from phasegrid.llm.html_extract import extract_main_text
 from phasegrid.llm.mixing import mix_sources
 from phasegrid.llm.simhash import simhash_dedup
 from phasegrid.llm.substring import substring_dedup
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks", "n_content")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -61,7 +66,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup)
+    f.__name__: _shipped(f) for f in (op1_html, op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
