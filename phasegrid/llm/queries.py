@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.bpe import bpe_round_trip
 from phasegrid.llm.fingerprint import fingerprint_documents, to_hex
+from phasegrid.llm.hpyp import hpyp_scores
 from phasegrid.llm.html_extract import extract_main_text
 from phasegrid.llm.mixing import mix_sources
 from phasegrid.llm.simhash import simhash_dedup
@@ -57,6 +58,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpyp_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -66,7 +71,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_html, op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup)
+    f.__name__: _shipped(f) for f in (op1_html, op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup, op10_hpyp)
 }
 
 ORACLE_SQL: dict[str, str] = {
