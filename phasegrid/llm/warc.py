@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer and a streaming reader.
 
 Records are dealt to shards by ranges of page_id that hold about `shard_bytes` of payload (from a
-histogram of at most BINS ranges, so the same table always gives the same shards), sorted inside a
+histogram, so the same table always gives the same shards), sorted inside a
 shard, and rolled into files by compressed size. Every record is its own gzip member; headers, record
 ids, block and payload digests are made anew. A task writes under a temporary name that only it uses
 and renames the file when it is whole, so a second attempt replaces equal bytes by equal bytes;
@@ -28,16 +28,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phasegrid.llm.ranges import id_ranges
 from phasegrid.llm.store import new_path
 
-BINS = 4096
 NAMES = uuid.UUID("8f2f8a54-63c6-4a0b-9d2e-0a3a4d1c7b11")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "shard int, seq int, path string, bytes long, records long, sha1 string"
+MANIFEST = "shard long, seq int, path string, bytes long, records long, sha1 string"
 READ_BYTES = 1 << 20
+PAGES_AT_ONCE = 256
 
 
 def record_id(page_id: int | None, payload: str) -> str:
@@ -101,43 +102,32 @@ class _File:
         return self.shard, self.seq, self.name, self.bytes, self.records, self.sha1.hexdigest()
 
 
-def _shards(pages: DataFrame, shard_bytes: int):
-    """A column that gives each page_id its shard."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0)
-    width = -(-(high - low + 1) // BINS)
-    place = F.coalesce(F.floor((F.col("page_id") - low) / width).cast("int"), F.lit(0))
-    held = dict(pages.groupBy(place.alias("bin")).agg(F.sum("bytes")).collect())  # at most BINS rows
-    shard_of, total = [], 0
-    for b in range(BINS):
-        shard_of.append(total // shard_bytes)
-        total += held.get(b, 0)
-    return F.element_at(F.lit(shard_of), place + 1)
-
-
 def write_warc(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, roll_bytes: int = 32 << 20, revisit_bytes: int = 1000, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes pages (page_id, url, html) as archives under the folder `out`; returns the manifest."""
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
     narrow = pages.select("page_id", payload.alias("html")).select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
-    shard = _shards(pages.select("page_id", F.octet_length(payload).cast("long").alias("bytes")), shard_bytes)
+    shard = id_ranges(pages.select("page_id", F.octet_length(payload).cast("long").alias("bytes")), "page_id", F.col("bytes"), shard_bytes)
     copied = narrow.filter(F.col("bytes") >= revisit_bytes).select("page_id", "digest")
     largest = copied.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     visits = copied.join(largest, "digest").filter("page_id is null and refers_to is not null or page_id < refers_to").distinct()
-    visits = visits.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("_id"), "digest", "refers_to", shard.alias("shard"))
-    rows = pages.select("page_id", "url", payload.alias("html"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("_id"), shard.alias("shard"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(n, "shard").join(visits.repartition(n, "shard").hint("shuffle_merge"), ["shard", "_id", "digest"], "left")
-    met = met.select("shard", "page_id", "url", "html", "refers_to").sortWithinPartitions("shard", "page_id", "url", "html")
+    # what a page revisits comes as a row of its own just before it: no join moves the pages
+    notes = visits.select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    rows = pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", payload.alias("html"))
+    met = shard(notes.unionAll(rows), "shard").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    met = met.sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").isNull(), "url").select("shard", "page_id", "digest", "refers_to", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file: _File | None = None
+        note: tuple = (None, None, None)
         for batch in batches:
             made = []
             for row in zip(*(batch.column(c) for c in batch.schema.names)):
-                s, page_id, url, html, refers_to = (x.as_py() for x in row)
+                s, page_id, digest, refers_to, url, html = (x.as_py() for x in row)
+                if refers_to is not None:
+                    note = (page_id, digest, refers_to)
+                    continue
+                refers_to = note[2] if note[:2] == (page_id, digest) else None
                 if file and (file.shard != s or file.bytes >= roll_bytes):
                     made.append(file.done())
                     file = _File(out, s, file.seq + 1 if file.shard == s else 0, date)
@@ -148,7 +138,14 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, roll_byt
         if file:
             yield _rows([file.done()])
 
-    met.mapInArrow(write, MANIFEST).write.parquet(f"{out}/_manifest")
+    # whole pages go to Python: a few hundred at a time
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(PAGES_AT_ONCE))
+    try:
+        met.mapInArrow(write, MANIFEST).write.parquet(f"{out}/_manifest")
+    finally:
+        spark.conf.set(key, usual)
     fs, root = pafs.FileSystem.from_uri(out)
     if fs.get_file_info(f"{root}/_temporary").type != pafs.FileType.NotFound:
         fs.delete_dir(f"{root}/_temporary")  # what attempts that were lost have left
@@ -156,7 +153,7 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, roll_byt
 
 
 def _rows(made: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["shard", "seq", "path", "bytes", "records", "sha1"])
 
 
