@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm.bpe import bpe_round_trip
+from phasegrid.llm.embed_dedup import embedding_dedup
 from phasegrid.llm.fingerprint import fingerprint_documents, to_hex
 from phasegrid.llm.hpyp import hpyp_scores
 from phasegrid.llm.html_extract import extract_main_text
@@ -26,6 +27,10 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks", "n_content")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -71,7 +76,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_html, op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup, op10_hpyp)
+    f.__name__: _shipped(f) for f in (op1_html, op2_embedding_dedup, op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup, op10_hpyp)
 }
 
 ORACLE_SQL: dict[str, str] = {
