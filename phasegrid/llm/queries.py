@@ -13,6 +13,7 @@ from phasegrid.llm.fingerprint import fingerprint_documents, to_hex
 from phasegrid.llm.hpyp import hpyp_scores
 from phasegrid.llm.html_extract import extract_main_text
 from phasegrid.llm.mixing import mix_sources
+from phasegrid.llm.quality import classify_quality
 from phasegrid.llm.simhash import simhash_dedup
 from phasegrid.llm.substring import substring_dedup
 from phasegrid.llm.warc import warc_round_trip
@@ -63,6 +64,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classify_quality(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "source", "lang", "quality_score", "quality_kept")
+
+
 def op10_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpyp_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,7 +82,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_html, op2_embedding_dedup, op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup, op10_hpyp)
+    f.__name__: _shipped(f) for f in (op1_html, op2_embedding_dedup, op3_warc, op4_substring_dedup, op5_fingerprints, op6_bpe, op7_mixing, op8_simhash_dedup, op9_quality, op10_hpyp)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -23,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasegrid.llm.blocks import paired_blocks, runs_by_key
@@ -61,16 +61,16 @@ def fingerprints_of(col: pa.Array, shingle: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint as a long) of every row."""
+    """(doc_id, mark, fingerprint as a long) of every row; mark is a hash of the text, to tell rows that share a doc_id apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 f = fingerprints_of(part.column("text"), shingle, seed)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(f.view(np.int64))], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(f.view(np.int64))], ["doc_id", "mark", "fingerprint"])
 
-    ids = docs.select("doc_id", "text")
-    return ids.mapInArrow(work, extended(ids.select("doc_id").schema, "fingerprint long"))
+    ids = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return ids.mapInArrow(work, extended(ids.select("doc_id", "mark").schema, "fingerprint long"))
 
 
 class BKTree:
@@ -183,11 +183,22 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, leaf: int = 2048) ->
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """(doc_id, fingerprint long, component_id) of every row of docs; component_id is the smallest doc_id reachable over links."""
+    """(doc_id, mark, fingerprint long, component_id) of every row of docs; component_id is the smallest doc_id reachable over links."""
     prints = cut(fingerprints(docs, shingle, seed), "simhash")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     groups = components(fingerprint_links(classes.select("fingerprint"), radius))
     named = classes.join(groups, classes.fingerprint == groups.node, "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("_group"))
     least = named.groupBy("_group").agg(F.min("least").alias("component_id"))
     label = named.join(least, "_group").select("fingerprint", "component_id")
-    return prints.join(label, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(label, "fingerprint").select("doc_id", "mark", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each component of found (simhash_dedup's result for docs) one row, with the smallest doc_id."""
+    names = docs.columns
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark")
+    stays = stays.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    marked = docs.withColumn("_text_mark", F.xxhash64("text"))
+    met = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_text_mark").orderBy("text"))
+    return met.withColumn("_first", first).filter("_first = 1").select([F.col(f"`{c}`") for c in names])
