@@ -66,7 +66,7 @@ def weighted_line(series: DataFrame, weights: DataFrame, value: str = "value") -
 
 
 def polynomial_by_hat(series: DataFrame, days: list[float], degree: int, weights: list[float] | None = None, value: str = "value") -> DataFrame:
-    """Fitted values of any degree: all pixels share their dates, so the fit is one small matrix (dates x dates) joined by date."""
+    """Fitted values of any degree: all pixels share their dates (each must have all of them), so the fit is one small matrix (dates x dates) joined by date."""
     t = np.array(days, float)
     v = np.vander((t - t[0]) / max(1.0, t[-1] - t[0]), degree + 1, increasing=True)
     w = np.ones(len(t)) if weights is None else np.array(weights)
