@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -18,12 +21,25 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="phasegrid-")
+        folder = tempfile.mkdtemp(prefix="phasegrid-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/phasegrid/{what}-{uuid.uuid4().hex}"
+    """A place of its own in the shared folder; sweep() deletes what is there."""
+    path = f"{shared_root(spark)}/phasegrid/{what}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that this module has made in the session's application. Call it when no result is read any more."""
+    app = spark.sparkContext.applicationId
+    for s, path in [x for x in _made if x[0].sparkContext.applicationId == app]:
+        drop_path(spark, path)
+        _made.remove((s, path))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

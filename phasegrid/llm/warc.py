@@ -98,6 +98,8 @@ class _File:
 
     def done(self) -> tuple:
         self.stream.close()
+        if self.fs.get_file_info(self.final).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.final)  # an earlier attempt's, with the same bytes
         self.fs.move(self.temporary, self.final)
         return self.shard, self.seq, self.name, self.bytes, self.records, self.sha1.hexdigest()
 
