@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PIXEL = ("prow", "pcol")
+#: Entries up to which a matrix is broadcast as rows (about 32 bytes each); a larger one is applied to packed pixels.
+BROADCAST_ENTRIES = 1_000_000
 
 
 def design(pairs: list[tuple], dates: list, velocity: bool = False) -> np.ndarray:
@@ -85,7 +87,10 @@ def invert(stack: DataFrame, pairs: DataFrame, scale: float = 1.0, velocity: boo
         w = 1 / np.sqrt([float((b - a).days if hasattr(b - a, "days") else b - a) for a, b in ends])
         w = w / w.max()
     p = pseudo_inverse(g, w, alpha, smooth)
-    x = apply_matrix(stack, matrix_frame(stack.sparkSession, p, ids, dates[1:]), value)
+    if p.size <= BROADCAST_ENTRIES:
+        x = apply_matrix(stack, matrix_frame(stack.sparkSession, p, ids, dates[1:]), value)
+    else:
+        x = unpacked(invert_packed(packed(complete(stack, ids, value), value), p), dates[1:])
     if velocity:
         x = integrate(x, [float((b - a).days if hasattr(b - a, "days") else b - a) for a, b in zip(dates, dates[1:])])
     return with_zero_date(x, dates[0], scale)
@@ -126,6 +131,18 @@ def packed(stack: DataFrame, value: str = "phase") -> DataFrame:
     return stack.groupBy(*PIXEL).agg(F.transform(F.array_sort(F.collect_list(F.struct("ifg_idx", value))), lambda s: s[value]).alias(value))
 
 
+def complete(stack: DataFrame, ids: list[int], value: str = "phase") -> DataFrame:
+    """Every pixel with every pair; pairs that a pixel lacks hold null."""
+    every = stack.select(*PIXEL).distinct().withColumn("ifg_idx", F.explode(F.lit(ids)))
+    return every.join(stack.select("ifg_idx", *PIXEL, value), ["ifg_idx", *PIXEL], "left")
+
+
+def unpacked(solved: DataFrame, unknowns: list) -> DataFrame:
+    """(prow, pcol, k, unknown, x) of packed solutions."""
+    names = F.array(*[F.lit(u) for u in unknowns])
+    return solved.select(*PIXEL, F.posexplode("x").alias("k", "x")).select(*PIXEL, "k", F.element_at(names, F.col("k") + 1).alias("unknown"), "x")
+
+
 def invert_packed(pixels: DataFrame, p: np.ndarray, value: str = "phase") -> DataFrame:
     """pixels (prow, pcol, phase array) plus x array: one product p · phases for each Arrow batch."""
     told = pixels.sparkSession.sparkContext.broadcast(p)

@@ -57,7 +57,7 @@ def slc_mask_opening(spark, sf):
 
 @query(f"WITH {CUBE_L}, {DEM_L} SELECT layer, cube_l.prow, cube_l.pcol, round(CASE WHEN elev < 1300 THEN NULL ELSE value END, 6) + 0.0 AS value FROM cube_l JOIN dem USING (prow, pcol)")
 def dem_mask(spark, sf):
-    met = cube_l(spark, sf).join(F.broadcast(dem_l(spark, sf)), list(PX))
+    met = cube_l(spark, sf).join(dem_l(spark, sf), list(PX))
     return six(met.withColumn("value", F.when(~(F.col("elev") < 1300), F.col("value"))), "value").select("layer", *PX, "value")
 
 
@@ -135,7 +135,7 @@ def deramp_quadratic_normal(spark, sf):
 f AS (SELECT layer, regr_slope(y, x) AS m, regr_intercept(y, x) AS b FROM s GROUP BY 1)
 SELECT layer, cube_l.prow, cube_l.pcol, round(value - (m * elev + b), 5) + 0.0 AS value FROM cube_l JOIN dem USING (prow, pcol) JOIN f USING (layer)""")
 def elevation_trend(spark, sf):
-    d = pixels.elevation_trend(cube_l(spark, sf), F.broadcast(dem_l(spark, sf)), "layer", "value", 2, F.col("cor") >= 0.3)
+    d = pixels.elevation_trend(cube_l(spark, sf), dem_l(spark, sf), "layer", "value", 2, F.col("cor") >= 0.3)
     return d.select("layer", *PX, (F.round("value", 5) + 0.0).alias("value"))
 
 

@@ -55,6 +55,11 @@ def test_difference_matrices(spark):
 def test_inversion(stack, pairs, velocity):
     h = invert.invert(stack, pairs, velocity=velocity).orderBy("pcol", "date").collect()
     assert np.allclose([r.defo for r in h if r.pcol == 0], [0, 2, 14, 16]) and np.allclose([r.defo for r in h if r.pcol == 1], [0, 4, 28, 32])
+    limit, invert.BROADCAST_ENTRIES = invert.BROADCAST_ENTRIES, 0
+    packed = invert.invert(stack.filter("not (ifg_idx = 4 and pcol = 1)"), pairs, velocity=velocity).orderBy("pcol", "date").collect()
+    invert.BROADCAST_ENTRIES = limit
+    lacking = invert.invert(stack.filter("not (ifg_idx = 4 and pcol = 1)"), pairs, velocity=velocity).orderBy("pcol", "date").collect()
+    assert np.allclose([r.defo for r in packed], [r.defo for r in lacking])
     coh = invert.temporal_coherence(stack, pairs, invert.invert(stack, pairs)).collect()
     assert all(abs(r.temp_coh - 1) < 1e-9 for r in coh)
 
