@@ -28,7 +28,7 @@ MOD = 1 << 32
 HALF = LIKE // 2
 SPACES = r"[\x20\x09-\x0D]+"
 #: Documents in a range of doc_id.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 
 def _units(text: Column) -> Column:
