@@ -12,7 +12,7 @@ Windows of a smaller document win; the covered words merge into maximal interval
 Defined results: null text has no words; a null doc_id counts as greater than any other and never
 removes anything; rows that repeat a doc_id do not remove each other's words; fewer words than a
 window: nothing is removed. Other columns are kept as they are; the operator's own columns
-(n_words, n_removed, removed, kept) replace any of the same name.
+(n_words, n_removed, removed, kept, and _key and _mark on the way) replace any of the same name.
 """
 
 from __future__ import annotations
@@ -182,7 +182,7 @@ def repeated_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     cold = rows.mapInArrow(lambda b: runs(b, False), "anchor long, _key long, _mark long, start int, hashes binary")
     found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "_key long, _mark long, start int, n int")
     if hot:
-        single = rows.mapInArrow(lambda b: runs(b, True), "anchor long, hash long, _key long, _mark long, start int")
+        single = cut(rows.mapInArrow(lambda b: runs(b, True), "anchor long, hash long, _key long, _mark long, start int"), "hot")
         least = single.groupBy("anchor", "hash").agg(F.min("_key").alias("least"), F.max("_key").alias("most")).filter("least < most")
         later = single.join(least, ["anchor", "hash"]).filter("_key > least").select("_key", "_mark", "start", F.lit(1).alias("n"))
         found = found.unionAll(later)
