@@ -38,7 +38,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 #: Elements and names of classes, ids and roles that are never main text.
 NEVER_TAGS = frozenset("nav footer aside form menu dialog head button label fieldset".split())
-NEVER_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo complementary sidebar aside widget widgets ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal alert dialog newsletter subscribe signup login search share sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager".split())
+NEVER_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo complementary sidebar aside widget widgets ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal alert dialog newsletter subscribe signup login search share sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager".split())
 #: The same where no article or main element is around.
 OUTSIDE_TAGS = frozenset({"header"})
 OUTSIDE_NAMES = frozenset("header banner masthead".split())

@@ -196,9 +196,9 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component of found (simhash_dedup's result for docs) one row, with the smallest doc_id."""
     names = docs.columns
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark")
-    stays = stays.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    marked = docs.withColumn("_text_mark", F.xxhash64("text"))
-    met = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")))
-    first = F.row_number().over(Window.partitionBy("doc_id", "_text_mark").orderBy("text"))
-    return met.withColumn("_first", first).filter("_first = 1").select([F.col(f"`{c}`") for c in names])
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r"))
+    stays = stays.select(F.col("r.doc_id").alias("__stays_id"), F.col("r.mark").alias("__stays_mark"))
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    met = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays_id")) & (F.col("__mark") == F.col("__stays_mark")))
+    first = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy("text"))
+    return met.withColumn("__first", first).filter("__first = 1").select([F.col(f"`{c}`") for c in names])
