@@ -24,8 +24,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that costs far more than moving a row: tables in fewer parts than there are
+    slots (small ones, in few row groups) are dealt out; larger ones are read where they lie."""
+    df = _table(spark, sf_dir, name).select(*columns)
+    slots = spark.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks", "n_content")
+    return extract_main_text(_dealt(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars", "n_blocks", "n_content")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +59,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    out = bpe_round_trip(_dealt(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
     return out.select("doc_id", (F.octet_length("ids_packed") / 4).cast("long").alias("n_tokens"), F.sha2("ids_packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -60,7 +68,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash_dedup(_table(spark, sf_dir, "documents"))
+    out = simhash_dedup(_dealt(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
