@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -84,6 +84,7 @@ def blocks_of(page: str) -> list[Block]:
     root = Node("", 0, None, False, False, False)
     at, links, out = root, 0, []
     block = Block(root)
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal block
@@ -105,6 +106,7 @@ def blocks_of(page: str) -> list[Block]:
         blocky = False
         while True:
             top, at = at, at.up
+            opened[top.tag] -= 1
             links -= top.tag == "a"
             blocky |= top.tag in BLOCKS
             if top is node:
@@ -115,6 +117,8 @@ def blocks_of(page: str) -> list[Block]:
             block.node = at
 
     def find(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> Node | None:
+        if not any(opened[t] for t in tags):
+            return None
         n = at
         while n is not root and n.tag not in stop:
             if n.tag in tags:
@@ -122,15 +126,20 @@ def blocks_of(page: str) -> list[Block]:
             n = n.up
         return None
 
-    pos = 0
+    pos, last = 0, page.rfind(">") + 1  # no tag ends behind it
     while True:
-        m = TAG.search(page, pos)
+        m = TAG.search(page, pos, last)
+        if m is None and 0 <= (at_comment := page.find("<!--", max(pos, last))):
+            add(page[pos:at_comment])  # never closed
+            break
         if m is None:
             add(page[pos:])
             break
         if m.start() > pos:
             add(page[pos : m.start()])
         pos = m.end()
+        if page.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+            break  # never closed
         if m[1] is not None:
             add(m[1])
             continue
@@ -171,6 +180,7 @@ def blocks_of(page: str) -> list[Block]:
         never = at.never or hidden or name in NEVER_TAGS or bool(names & NEVER_NAMES)
         never = never or not main and (name in OUTSIDE_TAGS or bool(names & OUTSIDE_NAMES))
         at = Node(name, at.depth + 1, at, never, main, at.named or bool(names & CONTENT_NAMES))
+        opened[name] += 1
         links += name == "a"
         if name in BLOCKS:
             flush()
