@@ -57,9 +57,11 @@ def collected(pairs: DataFrame) -> tuple[list[int], list[tuple], list]:
     return [r.ifg_idx for r in rows], [(r.early, r.late) for r in rows], sorted({d for r in rows for d in (r.early, r.late)})
 
 
-def matrix_frame(spark, m: np.ndarray, ids: list[int], unknowns: list) -> DataFrame:
-    """Long (k, unknown, ifg_idx, w) of a matrix, without zeros."""
+def matrix_frame(spark, m: np.ndarray, ids: list[int], unknowns: list, first=None) -> DataFrame:
+    """Long (k, unknown, ifg_idx, w) of a matrix, without zeros; first: a date that is zero for every pixel, as k = -1."""
     rows = [(i, unknowns[i], ids[j], float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1]) if abs(m[i, j]) > 1e-14]
+    if first is not None:
+        rows += [(-1, first, j, 0.0) for j in ids]
     return spark.createDataFrame(rows, "k int, unknown date, ifg_idx int, w double" if unknowns and hasattr(unknowns[0], "toordinal") else "k int, unknown int, ifg_idx int, w double")
 
 
@@ -88,17 +90,17 @@ def invert(stack: DataFrame, pairs: DataFrame, scale: float = 1.0, velocity: boo
         w = w / w.max()
     p = pseudo_inverse(g, w, alpha, smooth)
     if p.size <= BROADCAST_ENTRIES:
-        x = apply_matrix(stack, matrix_frame(stack.sparkSession, p, ids, dates[1:]), value)
+        x = apply_matrix(stack, matrix_frame(stack.sparkSession, p, ids, dates[1:], dates[0]), value)
     else:
-        x = unpacked(invert_packed(packed(complete(stack, ids, value), value), p), dates[1:])
+        x = unpacked(invert_packed(packed(complete(stack, ids, value), value), p), dates)
     if velocity:
         x = integrate(x, [float((b - a).days if hasattr(b - a, "days") else b - a) for a, b in zip(dates, dates[1:])])
-    return with_zero_date(x, dates[0], scale)
+    return x.select(*PIXEL, F.col("unknown").alias("date"), (F.col("x") * scale).alias("defo"))
 
 
 def integrate(velocities: DataFrame, days: list[float]) -> DataFrame:
-    """Running sums of x * days over k."""
-    step = F.element_at(F.array(*[F.lit(d) for d in days]), F.col("k") + 1)
+    """Running sums of x * days over k; k = -1 is the zero at the first date."""
+    step = F.when(F.col("k") >= 0, F.element_at(F.array(*[F.lit(d) for d in days]), F.greatest(F.col("k") + 1, F.lit(1)))).otherwise(0.0)
     w = Window.partitionBy(*PIXEL).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return velocities.withColumn("x", F.sum(F.col("x") * step).over(w))
 
@@ -116,12 +118,10 @@ def stack_velocity(stack: DataFrame, pairs: DataFrame, value: str = "phase", sca
 
 
 def temporal_coherence(stack: DataFrame, pairs: DataFrame, history: DataFrame, scale: float = 1.0, value: str = "phase") -> DataFrame:
-    """|Σ exp(i residual)| / M a pixel, 0 where the phases sum to 0."""
-    h = history.select(*PIXEL, "date", (F.col("defo") / scale).alias("_h"))
-    met = stack.join(F.broadcast(pairs.select("ifg_idx", "early", "late")), "ifg_idx")
-    for side in ("early", "late"):
-        met = met.join(h.withColumnsRenamed({"date": side, "_h": f"_{side}"}), [*PIXEL, side])
-    r = F.col(value) - (F.col("_late") - F.col("_early"))
+    """|Σ exp(i residual)| / M a pixel, 0 where the phases sum to 0. A pixel's history (one number a date) comes as a map, so the stack is joined by pixel once."""
+    h = history.groupBy(*PIXEL).agg(F.map_from_entries(F.collect_list(F.struct("date", F.col("defo") / scale))).alias("_h"))
+    met = stack.join(F.broadcast(pairs.select("ifg_idx", "early", "late")), "ifg_idx").join(h, list(PIXEL))
+    r = F.col(value) - (F.col("_h")[F.col("late")] - F.col("_h")[F.col("early")])
     c = F.sqrt(F.pow(F.sum(F.cos(r)), 2) + F.pow(F.sum(F.sin(r)), 2)) / F.count("*")
     return met.groupBy(*PIXEL).agg(F.when(F.sum(value) == 0, 0.0).otherwise(c).alias("temp_coh"))
 
@@ -138,9 +138,10 @@ def complete(stack: DataFrame, ids: list[int], value: str = "phase") -> DataFram
 
 
 def unpacked(solved: DataFrame, unknowns: list) -> DataFrame:
-    """(prow, pcol, k, unknown, x) of packed solutions."""
+    """(prow, pcol, k, unknown, x) of packed solutions; the first of the unknowns is zero and gets k = -1."""
     names = F.array(*[F.lit(u) for u in unknowns])
-    return solved.select(*PIXEL, F.posexplode("x").alias("k", "x")).select(*PIXEL, "k", F.element_at(names, F.col("k") + 1).alias("unknown"), "x")
+    rows = solved.select(*PIXEL, F.posexplode(F.concat(F.array(F.lit(0.0)), "x")).alias("k", "x"))
+    return rows.select(*PIXEL, (F.col("k") - 1).alias("k"), F.element_at(names, F.col("k") + 1).alias("unknown"), "x")
 
 
 def invert_packed(pixels: DataFrame, p: np.ndarray, value: str = "phase") -> DataFrame:

@@ -33,11 +33,15 @@ def pairs_within(dates: DataFrame, most: int) -> DataFrame:
 
 
 def all_pairs(dates: DataFrame) -> DataFrame:
-    """Every early < late, numbered early-major: (ifg_idx, early, late, dt_days)."""
-    d = ranked(dates.select("date").distinct())
-    top = d.agg(F.max("rank").alias("top"))
-    step = d.join(F.broadcast(top)).filter("rank < top").select(F.col("date").alias("early"), F.explode(F.sequence(F.col("rank") + 1, "top")).alias("rank"))
-    return numbered(step.join(d.withColumnRenamed("date", "late"), "rank").select("early", "late"))
+    """Every early < late, numbered early-major: (ifg_idx, early, late, dt_days). One sorted list of the dates, no join."""
+    d = dates.agg(F.array_sort(F.collect_set("date")).alias("ds")).select("ds", F.posexplode("ds").alias("i", "early"))
+    return numbered(d.select("early", F.explode(F.slice("ds", F.col("i") + 2, F.size("ds"))).alias("late")))
+
+
+def pinned(small: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of dates or pairs as local rows, so that plans that use it often don't make it anew each time; a longer one stays as it is."""
+    rows = small.limit(most + 1).collect()
+    return small if len(rows) > most else small.sparkSession.createDataFrame(rows, small.schema)
 
 
 def numbered(pairs: DataFrame) -> DataFrame:

@@ -28,17 +28,36 @@ def pair_slopes(series: DataFrame, key: str, low: float | None = None, high: flo
     return met.select(key, ((F.col("y2") - F.col("y1")) / F.col("span")).alias("slope"), "span")
 
 
-def median_trend(series: DataFrame, slopes: DataFrame, key: str) -> DataFrame:
+def median_of(sorted_values: Column) -> Column:
+    """Median of a sorted array; null for an empty one."""
+    n = F.size(sorted_values)
+    low, high = F.floor((n + 1) / 2).cast("int"), (F.floor(n / 2) + 1).cast("int")
+    return F.when(n > 0, (F.element_at(sorted_values, F.greatest(low, F.lit(1))) + F.element_at(sorted_values, F.least(high, n))) / 2)
+
+
+def spread_of(values: Column, middle: Column) -> Column:
+    """Scaled median absolute deviation."""
+    return SCALE * median_of(F.array_sort(F.transform(values, lambda x: F.abs(x - middle))))
+
+
+def sorted_slopes(slopes: DataFrame, key: str) -> DataFrame:
+    """(key, s): each series' slopes as one sorted array; medians of medians then need no further pass over the pairs."""
+    return slopes.groupBy(key).agg(F.array_sort(F.collect_list("slope")).alias("s"))
+
+
+def median_trend(series: DataFrame, arrays: DataFrame, key: str) -> DataFrame:
     """Median slope, intercept (median of y - slope x), sigma (scaled median deviation) and formal error."""
-    m = slopes.groupBy(key).agg(F.median("slope").alias("slope"), F.count("*").alias("n"))
-    dev = slopes.join(m.withColumnRenamed("slope", "_m"), key).groupBy(key).agg((SCALE * F.median(F.abs(F.col("slope") - F.col("_m")))).alias("sigma"))
-    icpt = series.join(m, key).groupBy(key).agg(F.median(F.col("y") - F.col("slope") * F.col("x")).alias("intercept"))
+    t = arrays.filter(F.size("s") > 0).withColumn("slope", median_of(F.col("s")))
+    t = t.select(key, "slope", spread_of(F.col("s"), F.col("slope")).alias("sigma"), F.size("s").alias("n"))
+    points = series.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("p"))
+    met = t.join(points, key)
+    icpt = median_of(F.array_sort(F.transform("p", lambda p: p["y"] - F.col("slope") * p["x"])))
     error = 3 * F.sqrt(F.lit(1.5707963267948966)) * F.col("sigma") / F.sqrt(F.col("n") / 4)
-    return m.join(dev, key).join(icpt, key).select(key, "slope", "intercept", "sigma", error.alias("error"))
+    return met.select(key, "slope", icpt.alias("intercept"), "sigma", error.alias("error"))
 
 
 def theil_sen(series: DataFrame, key: str) -> DataFrame:
-    return median_trend(series, pair_slopes(series, key), key)
+    return median_trend(series, sorted_slopes(pair_slopes(series, key), key), key)
 
 
 def interannual(series: DataFrame, key: str, period: float, tolerance: float, multiple: float | None = None) -> DataFrame:
@@ -48,17 +67,14 @@ def interannual(series: DataFrame, key: str, period: float, tolerance: float, mu
     else:
         over = F.pmod("span", F.lit(period))
         s = pair_slopes(series, key).filter((over <= tolerance) | (period - over <= tolerance))
-    return median_trend(series, s, key)
+    return median_trend(series, sorted_slopes(s, key), key)
 
 
 def midas(series: DataFrame, key: str, period: float, tolerance: float) -> DataFrame:
     """Spans near one period; slopes more than two sigma from the median are left out once."""
-    s = pair_slopes(series, key, period - tolerance, period + tolerance)
-    first = s.groupBy(key).agg(F.median("slope").alias("_m"))
-    with_m = s.join(first, key)
-    sig = with_m.groupBy(key).agg((SCALE * F.median(F.abs(F.col("slope") - F.col("_m")))).alias("_s"))
-    kept = with_m.join(sig, key).filter(F.col("slope").between(F.col("_m") - 2 * F.col("_s"), F.col("_m") + 2 * F.col("_s"))).drop("_m", "_s")
-    return median_trend(series, kept, key)
+    s = sorted_slopes(pair_slopes(series, key, period - tolerance, period + tolerance), key).withColumn("_m", median_of(F.col("s"))).withColumn("_s", spread_of(F.col("s"), F.col("_m")))
+    kept = F.filter("s", lambda x: x.between(F.col("_m") - 2 * F.col("_s"), F.col("_m") + 2 * F.col("_s")))
+    return median_trend(series, s.select(key, kept.alias("s")), key)
 
 
 def deviation_cutoff(rows: DataFrame, key: str, value: str, times: float) -> DataFrame:

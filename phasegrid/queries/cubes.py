@@ -41,6 +41,33 @@ def six(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(F.col(c).cast("double")) for c in columns})
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(build: Query) -> Query:
+    """Derived cubes (aggregates of the tables, small beside them) are made once a session and folder and persisted, as a plan uses them in several places."""
+
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _kept:
+            _kept[key] = build(spark, sf).persist()
+        return _kept[key]
+
+    return get
+
+
+def listed(build: Query) -> Query:
+    """Lists of dates and pairs are made once and held as local rows."""
+
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _kept:
+            _kept[key] = net.pinned(build(spark, sf))
+        return _kept[key]
+
+    return get
+
+
 # --- events
 
 TYPES = "types AS (SELECT event_type, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS pcol FROM (SELECT DISTINCT event_type FROM events))"
@@ -58,6 +85,7 @@ stack_e AS (SELECT ifg_idx, x.prow, x.pcol, y.v - x.v + ((x.prow * 31 + x.pcol *
 cor_e AS (SELECT ifg_idx, prow, pcol, ((prow * 13 + pcol * 7 + ifg_idx * 5) % 10) / CAST(10 AS DOUBLE) AS cor FROM stack_e)"""
 
 
+@kept
 def cube_e(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     types = e.select("event_type").distinct().select("event_type", F.expr("cast(dense_rank() over (order by event_type) - 1 as int)").alias("pcol"))
@@ -69,6 +97,7 @@ def epoch_date(t: Column) -> Column:
     return F.date_add(F.lit("2024-01-01").cast("date"), 3 * t)
 
 
+@listed
 def net_e(spark: SparkSession, sf: str) -> DataFrame:
     """(ifg_idx, e, l, early, late, dt_days) of all pairs of epochs."""
     days = cube_e(spark, sf).select("t").distinct().select(epoch_date(F.col("t")).alias("date"))
@@ -77,6 +106,7 @@ def net_e(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("e", (F.datediff("early", base) / 3).cast("int")).withColumn("l", (F.datediff("late", base) / 3).cast("int"))
 
 
+@kept
 def stack_e(spark: SparkSession, sf: str) -> DataFrame:
     c = cube_e(spark, sf)
     a = c.select("prow", "pcol", F.col("t").alias("e"), F.col("v").alias("ve"))
@@ -107,6 +137,7 @@ CUBE_L = """cube_l AS (SELECT CAST((year(l_shipdate) - 1995) * 12 + month(l_ship
 DEM_L = "dem AS (SELECT CAST(p_partkey // 8 % 8 AS INTEGER) AS prow, CAST(p_partkey % 8 AS INTEGER) AS pcol, avg(p_retailprice) AS elev FROM part GROUP BY 1, 2)"
 
 
+@kept
 def cube_l(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "lineitem")
     layer = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int")
@@ -158,6 +189,7 @@ mnet AS (SELECT CAST(row_number() OVER (ORDER BY a.date, b.date) - 1 AS INTEGER)
     CAST(b.date - a.date AS INTEGER) AS dt_days FROM months a JOIN months b ON b.date > a.date)"""
 
 
+@listed
 def months(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("date")).agg(F.count("*").alias("n"), (F.avg("o_totalprice") / 1000).alias("position"))
@@ -168,5 +200,6 @@ def ignored(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(F.broadcast(m.agg(F.avg("n").alias("a")))).filter("n < a").select("date")
 
 
+@listed
 def mnet(spark: SparkSession, sf: str) -> DataFrame:
     return net.all_pairs(months(spark, sf).select("date"))
