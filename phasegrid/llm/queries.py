@@ -73,12 +73,12 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classify_quality(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels"))
+    out = classify_quality(_dealt(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "source", "lang", "quality_score", "quality_kept")
 
 
 def op10_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hpyp_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return hpyp_scores(_dealt(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
