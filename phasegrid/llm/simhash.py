@@ -183,20 +183,21 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, leaf: int = 2048) ->
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """(doc_id, mark, fingerprint long, component_id) of every row of docs; component_id is the smallest doc_id reachable over links."""
+    """(doc_id, mark, fingerprint long, component_id, group long) of every row of docs; component_id is the smallest doc_id
+    reachable over links, group the component's own key: doc_ids that are null or repeat don't tell components apart."""
     prints = cut(fingerprints(docs, shingle, seed), "simhash")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     groups = components(fingerprint_links(classes.select("fingerprint"), radius))
     named = classes.join(groups, classes.fingerprint == groups.node, "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("_group"))
     least = named.groupBy("_group").agg(F.min("least").alias("component_id"))
-    label = named.join(least, "_group").select("fingerprint", "component_id")
-    return prints.join(label, "fingerprint").select("doc_id", "mark", "fingerprint", "component_id")
+    label = named.join(least, "_group").select("fingerprint", "component_id", F.col("_group").alias("group"))
+    return prints.join(label, "fingerprint").select("doc_id", "mark", "fingerprint", "component_id", "group")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component of found (simhash_dedup's result for docs) one row, with the smallest doc_id."""
+    """The rows of docs that stay: of each group of found (doc_id, mark and group of each row of docs) one row, with the smallest doc_id."""
     names = docs.columns
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r"))
+    stays = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r"))
     stays = stays.select(F.col("r.doc_id").alias("__stays_id"), F.col("r.mark").alias("__stays_mark"))
     marked = docs.withColumn("__mark", F.xxhash64("text"))
     met = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays_id")) & (F.col("__mark") == F.col("__stays_mark")))
