@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.bpe import bpe_round_trip
 from phasegrid.llm.mixing import mix_sources, taken_words
+from phasegrid.llm.near_copies import near_copies
 from phasegrid.llm.quality import classify_quality
-from phasegrid.llm.simhash import one_of_each, simhash_dedup
+from phasegrid.llm.simhash import one_of_each
 from phasegrid.llm.store import cut
 from phasegrid.llm.substring import substring_dedup
 from phasegrid.session import ship
@@ -30,11 +31,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest doc_id. Shingles of five words,
-    fingerprints within three of 64 bits: of pairs that share 0.9 of their shingles or more it links 98 in
-    100, between 0.8 and 0.9 about one in four (the README has the figures)."""
+    """One document of each group of near copies stays, the one with the smallest doc_id. Near are all pairs whose sets
+    of five-word shingles have a Jaccard similarity of 0.8 or more: SimHash proposes, a prefix join finds what it
+    misses, and every link is checked on the sets."""
     ship(spark)
-    return one_of_each(docs, simhash_dedup(docs, shingle=5, radius=3))
+    return one_of_each(docs, near_copies(docs, shingle=5))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

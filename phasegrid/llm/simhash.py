@@ -123,25 +123,25 @@ class Union:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
         x, y = self.top(x), self.top(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
 
 
 def tree_links(mine: list[int], others: list[int], radius: int) -> list[tuple[int, int]]:
-    """Spanning links among mine, or between mine and others, at most radius apart."""
+    """Spanning links among mine, or between mine and others, each at most radius long."""
     tree, values = BKTree(), [*mine, *others]
     union = Union(len(values))
+    links = []
     for i, v in enumerate(mine):
         if not others:
-            for j in tree.within(v, radius):
-                union.join(i, j)
+            links += [(v, values[j]) for j in tree.within(v, radius) if union.join(i, j)]
         tree.add(v)  # distinct values: place i
     for i, v in enumerate(others, len(mine)):
-        for j in tree.within(v, radius):
-            union.join(i, j)
-    return [(values[i], values[t]) for i in range(len(values)) if (t := union.top(i)) != i]
+        links += [(v, values[j]) for j in tree.within(v, radius) if union.join(i, j)]
+    return links
 
 
 def bands_of(mask_bits: list[int], parts: int) -> list[int]:

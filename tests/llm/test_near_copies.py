@@ -21,3 +21,39 @@ def test_one_row_a_component_whatever_its_ids(spark):
     docs = make(spark, rows)
     kept = Counter((r.doc_id, r.text) for r in simhash.one_of_each(docs, simhash.simhash_dedup(docs)).collect())
     assert kept == Counter([(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(6))])
+
+
+def test_stage_against_brute_force_jaccard(spark, monkeypatch):
+    """All pairs at 0.8 or more are linked, those that SimHash doesn't propose too, and no others."""
+    import random
+
+    import corpus_pipeline
+    from phasegrid.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "COMMON_LEAST", 6)
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rnd = random.Random(4)
+    word = lambda: f"t{rnd.randrange(4000)}"
+    line = " ".join(word() for _ in range(14))
+    rows = []
+    for base in range(30):
+        w = [word() for _ in range(rnd.choice([12, 40, 150, 300]))]
+        w[:0] = line.split() if base % 2 else []
+        for _ in range(8 if base % 5 == 0 else 3):
+            v = list(w)
+            for _ in range(rnd.randrange(1 + len(w) // 30)):
+                v[rnd.randrange(len(v))] = word()
+            rows.append((len(rows), " ".join(v)))
+    rows += [(len(rows) + k, t) for k, t in enumerate([None, "", " \n", "one two", "One  TWO", "one three", rows[0][1].upper()])]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    union = simhash.Union(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                union.join(i, j)
+    want = sorted({union.top(i) for i in range(len(rows))})
+    got = corpus_pipeline.near_duplicates(spark, make(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == want
