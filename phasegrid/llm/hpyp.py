@@ -2,10 +2,12 @@
 
 Restaurants: one a context (a class of the token before: its last three bytes, hashed to CONTEXTS
 classes), all sharing the unigram restaurant as parent, whose base measure has no atoms, so its new
-dishes are unknown words. A sweep of the Gibbs sampler seats all customers of every (context, word)
-anew, given the tables of the whole restaurants from the sweep before; each table sends a customer to
-the parent. Predictive probabilities are averaged over the last sweeps' seatings. Customers beyond
-the eighth of a dish are seated in growing groups with the probability at the group's start.
+dishes are unknown words. A sweep is a forward draw, not a step of a
+Gibbs chain: it seats all customers of every (context, word) anew, from one table on, given the tables
+of the whole restaurants from the sweep before; each table sends a customer to the parent. So nothing
+but the counts and CONTEXTS sums is kept between sweeps. Predictive probabilities are averaged over the
+last sweeps' seatings. From 16 customers of a dish on, k // 8 at a time are seated, with the probability
+at the group's start.
 Discounts come from the counts of ones and twos, strengths are parameters.
 
 Data flow: words become 64-bit hashes. A slice of documents sends each partition of the vocabulary one
