@@ -1,20 +1,25 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into text blocks with their place in the element tree. A linear classifier over a
-block's words, links, punctuation and enclosing elements gives it a cost for either label: these are
-the capacities to the two terminals. Neighbouring blocks, and blocks next to each other among the
-children of one container, are joined by smoothness edges that weaken with their distance in the tree.
-The minimum cut separates content from boilerplate. Elements that name themselves as navigation,
-forms, adverts, comments and the like fix their blocks' label (an infinite capacity), as do scripts.
+A page is cut into text blocks that hang in the element tree. The graph has a node for every block and for every
+element that says something or holds several others. A classifier over a block's words, links, punctuation and
+phrases gives its cost for either label, elements add what their tag and names say, once for each block they hold:
+these are the capacities to the two terminals. Smoothness edges join a block to the element around it, an element to
+the one around that, and neighbours in page order, the more weakly the further apart they are in the tree. The
+minimum cut separates content from boilerplate: a short paragraph follows the article around it, a link list in that
+article doesn't, nor do long comments under an element that names itself so, and a heading named related-work stays.
+No tag or name fixes a label. Nodes whose own capacity outweighs all their edges are settled first, which keeps the
+cut as it is; the rest goes through Dinic's flow.
 
 Defined results: null or empty html gives empty text; broken markup is read as far as it goes (an
-unclosed script or comment runs to the end); character references are decoded; other columns pass
+unclosed script or comment runs to the end); character references are decoded; scripts, styles, buttons and what
+stands in for media (svg, object, canvas, noscript) hold no text; repeated rows give equal results; other columns pass
 through, and the operator's own columns (text, n_chars, n_blocks, n_content) replace any of the same name.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
@@ -31,31 +36,45 @@ ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?
 TOKEN = re.compile(r"[a-z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select canvas audio video button".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes if it is open, and how far out it looks.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Elements and names of classes, ids and roles that are never main text.
-NEVER_TAGS = frozenset("nav footer aside form menu dialog head button label fieldset".split())
-NEVER_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo complementary sidebar aside widget widgets ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal alert dialog newsletter subscribe signup login search share sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager".split())
-#: The same where no article or main element is around.
-OUTSIDE_TAGS = frozenset({"header"})
-OUTSIDE_NAMES = frozenset("header banner masthead".split())
-CONTENT_NAMES = frozenset("article content entry post story text prose main".split())
 MAIN_TAGS = frozenset({"article", "main"})
-UNNAMED = frozenset({"html", "body", "article", "main"})
-SURE = 1e9
+UNNAMED = frozenset({"html", "body", "article", "main"} | HEADINGS)
+#: Elements that are hardly ever main text; header is one outside the article.
+BESIDE = frozenset("nav footer aside form menu dialog head".split())
+#: Names (words of class, id and role) of what isn't main text, wherever they stand in a name.
+NAMED = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo complementary sidebar widget widgets ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo cookie cookies cmp gdpr popup modal newsletter signup login disqus pager pagination masthead".split())
+#: Names that also are everyday words: these count in full alone or beside PLAIN words.
+EVERYDAY = frozenset("aside banner header consent notice notices alert dialog promotion subscribe search share sharing social related recommended recommendations comment comments reply replies respond discussion reactions responses feedback".split())
+PLAIN = frozenset("list box bar button buttons link links post posts article articles section form area block wrapper container inner outer site page user users reader readers left right top bottom item items thread body text content icons tools media main new latest more wrap row col column panel group count title the and for id".split())
+WITHOUT = frozenset("no not has with without hide".split())
+CONTENT_NAMES = frozenset("article content entry post story text prose main".split())
+PHRASES = re.compile(r"\bcookies?\b|\bnewsletter\b|\bsubscribe\b|\bsponsored\b|\badvertisement\b|all rights reserved|©|privacy policy|\bsign (?:in|up)\b|\blog ?in\b", re.I)
+#: Capacities: of a block's tie to the element around it and of that to the next (an own cost of a block below it
+#: gives way; MORE for each further block an element holds), of neighbours in page order, and what an element says for each block it holds (a sure one has
+#: a TIE more, as much as the element around it can say).
+TIE, MORE, BESIDE_TIE, ARTICLE, OUTSIDE, ALONE, AGAINST, HINT, FAVOUR = 3.0, 0.5, 0.8, 4.0, -4.0, 1.5, -4.0, -1.0, 0.8
+#: A page is about its article and main elements if these hold so much of its text outside links and outside what speaks against itself.
+MOST = 0.4
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     depth: int
     up: "Node | None"
-    never: bool
     main: bool
-    named: bool
+    worth: float
+    weak: bool = False
+    fair: bool = True
+    blocks: int = 0
+    kids: int = 0
+    chars: int = 0
+    mains: int = 0
+    place: int = -1
 
 
 @dataclass
@@ -66,23 +85,36 @@ class Block:
     text: str = ""
 
 
-def _names(attrs: str) -> tuple[set[str], bool]:
-    """The words of class, id and role, and whether the element is hidden."""
-    names: set[str] = set()
-    hidden = False
+def worth_of(tag: str, attrs: str, main: bool) -> tuple[float, bool]:
+    """What an element says for each block it holds, and whether that is taken back where it holds most of the page."""
+    worth, weak = (AGAINST, tag == "form") if tag in BESIDE or tag == "header" and not main else (0.0, False)
+    if not attrs:
+        return worth, weak
     for m in ATTR.finditer(attrs):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id", "role"):
-            names.update(TOKEN.findall(value.lower()))
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            hidden = True
-    return names, hidden
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page, in order."""
-    root = Node("", 0, None, False, False, False)
-    at, links, out = root, 0, []
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            return 2 * AGAINST, False
+        if key not in ("class", "id", "role") or tag in UNNAMED:
+            continue
+        for name in value.split():
+            words = TOKEN.findall(name)
+            if WITHOUT.intersection(words):
+                continue
+            alone = len([w for w in words if not w.isdigit()]) == 1
+            if NAMED.intersection(words):
+                worth, weak = min(worth, AGAINST), weak or not alone
+            elif EVERYDAY.intersection(words) and not (main and "header" in words):
+                sure = all(w in EVERYDAY or w in PLAIN or w.isdigit() for w in words)
+                worth, weak = min(worth, AGAINST if sure else HINT), weak or not sure
+            elif CONTENT_NAMES.intersection(words) and not worth:
+                worth = FAVOUR
+    return worth, weak
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
+    """The text blocks of a page, in order, and its elements, each behind the one around it."""
+    root = Node("", 0, None, False, 0.0)
+    at, links, out, nodes = root, 0, [], [root]
     block = Block(root)
     opened: Counter[str] = Counter()
 
@@ -173,13 +205,9 @@ def blocks_of(page: str) -> list[Block]:
                 close(n)
         if name == "a" and links and (n := find({"a"}, BLOCKS)) is not None:
             close(n)
-        names, hidden = _names(attrs) if attrs else (set(), False)
-        if name in UNNAMED:
-            names = set()
-        main = at.main or name in MAIN_TAGS
-        never = at.never or hidden or name in NEVER_TAGS or bool(names & NEVER_NAMES)
-        never = never or not main and (name in OUTSIDE_TAGS or bool(names & OUTSIDE_NAMES))
-        at = Node(name, at.depth + 1, at, never, main, at.named or bool(names & CONTENT_NAMES))
+        worth, weak = worth_of(name, attrs, at.main)
+        at = Node(name, at.depth + 1, at, at.main or name in MAIN_TAGS, worth, weak, at.fair and (worth >= 0 or weak))
+        nodes.append(at)
         opened[name] += 1
         links += name == "a"
         if name in BLOCKS:
@@ -187,22 +215,21 @@ def blocks_of(page: str) -> list[Block]:
         elif not block.parts:
             block.node = at
     flush()
-    return out
-
-
-def score(b: Block) -> float:
-    """The classifier: above zero for content. The unit is a cost; SURE is a fixed label."""
-    if b.node.never:
-        return -SURE
-    words = b.text.count(" ") + 1
-    s = -1.0 + 0.05 * min(words, 60) - 4.0 * b.linked / max(1, len(b.text))
-    s += 0.8 * (b.text[-1] in ".!?:;\"'”»)")
-    holder = b.node
-    while holder is not None and holder.tag not in BLOCKS:
+    return out, nodes
+
+
+def score(b: Block, article: bool) -> float:
+    """The classifier of a block's own text: above zero for content, less than TIE, so that it alone decides nothing against
+    its element. Phrases of notices weigh less on pages that say where their article is: articles quote them."""
+    words, holder = b.text.count(" ") + 1, b.node
+    while holder.up is not None and holder.tag not in BLOCKS:
         holder = holder.up
-    if holder is not None:
-        s += {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "li": -0.3, "td": -0.3}.get(holder.tag, 0.5 if holder.tag in HEADINGS else 0.0)
-    return s + 6.0 * b.node.main + 1.5 * b.node.named
+    heading = holder.tag in HEADINGS
+    s = -1.2 + 0.07 * min(words, 40) - (1.5 if heading else 4.5) * b.linked / max(1, len(b.text))
+    s += 0.5 * (b.text[-1] in ".!?:;\"'”»)") + {"p": 0.5, "blockquote": 0.5, "pre": 0.8, "li": -0.2, "td": -0.2}.get(holder.tag, 0.3 * heading)
+    if words < 40 and PHRASES.search(b.text):
+        s -= 1.5 if article else 3.6
+    return max(-5.0, min(2.8, s))
 
 
 def distance(a: Node, b: Node) -> int:
@@ -217,34 +244,81 @@ def distance(a: Node, b: Node) -> int:
     return steps
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness: neighbours in page order, and neighbours among the blocks of one container."""
-    out = [(i, i + 1, 1.5 / (1 + distance(blocks[i].node, blocks[i + 1].node))) for i in range(len(blocks) - 1)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
+def graph_of(blocks: list[Block], nodes: list[Node]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """The terminal capacities (above zero: towards content) of the blocks and then of the elements that count, and the edges."""
+    for b in blocks:
         n = b.node
-        while n.up is not None and n.tag not in BLOCKS:
-            n = n.up
-        key = id(n.up or n)
-        if key in last and last[key] != i - 1:
-            out.append((last[key], i, 0.5))
-        last[key] = i
-    return out
+        n.blocks, n.kids, n.chars = n.blocks + 1, n.kids + 1, n.chars + len(b.text) - min(len(b.text), b.linked)
+    for n in reversed(nodes[1:]):
+        up = n.up
+        n.mains += n.tag in MAIN_TAGS
+        if n.blocks:
+            up.blocks, up.kids, up.chars, up.mains = up.blocks + n.blocks, up.kids + 1, up.chars + n.chars, up.mains + n.mains
+    root, fair, inside = nodes[0], 0, 0
+    for b in blocks:
+        if b.node.fair:
+            fair += max(0, len(b.text) - b.linked)
+            inside += b.node.main * max(0, len(b.text) - b.linked)
+    article = inside > 0 and inside >= MOST * fair
+    gains, edges = [score(b, article) for b in blocks], []
+    for n in nodes:
+        if not n.blocks:
+            continue
+        if n is root:
+            worth = OUTSIDE if article else ALONE
+        elif n.tag in MAIN_TAGS and article:
+            worth = ARTICLE
+        elif n.worth < 0 and n.weak and (n.mains and article and not n.main or n.chars > 0.6 * root.chars):
+            worth = 0.0
+        else:
+            worth = n.worth
+        if worth or n.kids > 1 or n is root:
+            n.place = len(gains)
+            gains.append(worth * n.blocks + (math.copysign(TIE, worth) if abs(worth) >= -AGAINST else 0.0))
+            if n is not root:
+                edges.append((n.up.place, n.place, TIE + MORE * (n.blocks - 1)))
+        else:
+            n.place = n.up.place
+    edges += [(b.node.place, i, TIE) for i, b in enumerate(blocks)]
+    edges += [(i, i + 1, BESIDE_TIE / (1 + distance(blocks[i].node, blocks[i + 1].node))) for i in range(len(blocks) - 1)]
+    return gains, edges
 
 
-def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """For each block whether it is on the content side of the minimum cut, by Dinic's maximum flow."""
-    free = [i for i, s in enumerate(scores) if abs(s) < SURE]
+def settle(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool | None]:
+    """Labels of the nodes whose terminal capacity outweighs all their edges, one after the other: any minimum cut has them."""
+    at: list[list[tuple[int, float]]] = [[] for _ in gains]
+    for a, b, w in edges:
+        at[a].append((b, w))
+        at[b].append((a, w))
+    gain, tied, label = list(gains), [sum(w for _, w in x) for x in at], [None] * len(gains)
+    todo = list(range(len(gains)))
+    while todo:
+        i = todo.pop()
+        if label[i] is not None or abs(gain[i]) <= tied[i]:
+            continue
+        label[i] = gain[i] > 0
+        for k, w in at[i]:
+            if label[k] is None:
+                gain[k] += w if label[i] else -w
+                tied[k] -= w
+                todo.append(k)
+    return label
+
+
+def min_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """For each node whether it is on the content side of the minimum cut, by Dinic's maximum flow."""
+    label = settle(gains, edges)
+    free = [i for i, x in enumerate(label) if x is None]
     place = {b: k for k, b in enumerate(free)}
-    gain = [scores[i] for i in free]
+    gain = [gains[i] for i in free]
     inner = []
     for a, b, w in edges:
         pa_, pb = place.get(a), place.get(b)
         if pa_ is not None and pb is not None:
             inner.append((pa_, pb, w))
-        elif pa_ is not None or pb is not None:  # the other end's label is fixed: w pulls towards it
+        elif pa_ is not None or pb is not None:  # the other end is settled: w pulls towards it
             k, other = (pa_, b) if pa_ is not None else (pb, a)
-            gain[k] += w if scores[other] > 0 else -w
+            gain[k] += w if label[other] else -w
     n = len(free)
     source, sink = n, n + 1
     to: list[int] = []
@@ -300,16 +374,17 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                 continue
             path.append(e)
             x = to[e]
-    content = [s >= SURE for s in scores]
     for k, b in enumerate(free):
-        content[b] = level[k] >= 0
-    return content
+        label[b] = level[k] >= 0
+    return label
 
 
 def main_text(page: str) -> tuple[str, int, int]:
     """The main text, how many blocks there are, and how many of them it holds."""
-    blocks = blocks_of(page)
-    chosen = [b.text for b, yes in zip(blocks, min_cut([score(b) for b in blocks], edges_of(blocks))) if yes]
+    blocks, nodes = blocks_of(page)
+    if not blocks:
+        return "", 0, 0
+    chosen = [b.text for b, yes in zip(blocks, min_cut(*graph_of(blocks, nodes))) if yes]
     return "\n".join(chosen), len(blocks), len(chosen)
 
 
