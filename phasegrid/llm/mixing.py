@@ -8,11 +8,12 @@ its shards (hash buckets of documents; a source's words run through its shards i
 takes that many consecutive blocks of its seeded document order from a seeded block on, around the end.
 
 DataFrame functions only. The documents are shuffled once, by (source, shard), so a hot source is
-spread over `shards` keys; everything per source works on at most `shards` rows a source.
+spread over its shards, which follow the bytes of text; everything per source works on a row a shard.
 
 Defined results: null text has size 0; the null source is a source of its own, after all others;
-sources without words get target 0; rows with equal doc_id count as different documents; the
-operator's own columns (size, source_size, target, taken and the plan's) replace any of the same name.
+sources without words get target 0; rows with equal doc_id count as different documents, and their order
+depends on their columns only, so that the same rows in any order give the same mix; other columns pass whatever
+their names, and the operator's own (size, source_size, target, taken, epochs, extra) replace any of the same name.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasegrid.llm.store import packed, row_hash, unpacked
+
 WORD = r"[^\x20\x09-\x0D]+"
 OWN = ("size", "source_size", "target", "taken", "epochs", "extra")
-PLAN = ("_null", "_src", "_shard", "_at", "_edge", "_enter", "_q", "_rot", "_nb")
+#: Shards of a source: at least so many, and one for so many bytes of text.
+SHARDS, SHARD_BYTES = 256, 256 << 20
 
 
 def apportion(rows: DataFrame, group: list[str], name: list[str], votes: str, seats: str, into: str) -> DataFrame:
@@ -66,18 +70,19 @@ def _overlap(a: Column, b: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(b, high) - F.greatest(a, low))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 16, shards: int = 256, seed: int = 7) -> DataFrame:
-    """docs (doc_id, text, source, ...) plus size, source_size, taken, epochs, extra (long) and target (double).
-
-    taken = epochs * size + extra; see taken_words() for the words that extra counts.
-    """
-    docs = docs.drop(*OWN, *PLAN)
-    sized = docs.withColumns({
-        "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-        "_null": F.col("source").isNull(),
-        "_src": F.coalesce("source", F.lit("")),
-        "_shard": F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"),
-    })
+def _planned(docs: DataFrame, weights: tuple[int, ...], cap: int, block: int, shards: int | None, seed: int) -> DataFrame:
+    """row (all columns but text), text, the OWN columns and the plan's, which begin with a line."""
+    docs = docs.drop(*OWN)
+    if shards is None:
+        shards = max(SHARDS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    sized = docs.select(
+        packed(docs, "text"), "text",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col("source").isNull().alias("_null"),
+        F.coalesce("source", F.lit("")).alias("_src"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(shards)).cast("int").alias("_shard"),
+        F.xxhash64(F.lit(seed + 1), "doc_id").alias("_first"), F.col("doc_id").alias("_id"), row_hash(docs).alias("_last"),
+    )
     cells = sized.groupBy("_null", "_src", "_shard").agg(F.sum("size").alias("_words"))
     sources = targets(cells.groupBy("_null", "_src").agg(F.sum("_words").alias("source_size")), weights, cap)
     all_seats = F.round(F.sum("rest").over(Window.partitionBy(F.lit(0))) / block).cast("long")
@@ -90,18 +95,29 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     cells = cells.withColumn("_rot", F.when(F.col("_nb") > 0, F.pmod(F.xxhash64(F.lit(seed), "_src", "_shard"), "_nb")).otherwise(0))
     last = F.when(F.col("_nb") > 0, F.pmod(F.col("_nb") - 1 - F.col("_rot"), "_nb") < F.col("_q"))
     cells = cells.withColumn("_enter", F.coalesce(F.last(last, True).over(own.rowsBetween(*before)), F.lit(False)))
-    order = Window.partitionBy("_null", "_src", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(*before)
+    order = Window.partitionBy("_null", "_src", "_shard").orderBy("_first", "_id", "_last").rowsBetween(*before)
     placed = sized.withColumn("_at", F.coalesce(F.sum("size").over(order), F.lit(0)))
     met = placed.join(cells.drop("_words", "weight", "rest", "quota"), ["_null", "_src", "_shard"]).withColumn("_at", F.col("_at") + F.col("_off"))
     a, b, edge = F.col("_at"), F.col("_at") + F.col("size"), F.col("_edge")
     over = F.col("_rot") + F.col("_q") - F.col("_nb")
     extra = F.when(F.col("_enter"), F.greatest(F.lit(0), F.least(b, edge) - a)).otherwise(0)
     extra = extra + _overlap(a - edge, b - edge, F.col("_rot") * block, F.least(F.col("_rot") + F.col("_q"), "_nb") * block) + _overlap(a - edge, b - edge, F.lit(0), over * block)
-    return met.withColumn("extra", extra.cast("long")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra")).drop("_off")
+    return met.withColumn("extra", extra.cast("long")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 16, shards: int | None = None, seed: int = 7) -> DataFrame:
+    """docs (doc_id, text, source, ...) plus size, source_size, taken, epochs, extra (long) and target (double).
+
+    taken = epochs * size + extra; see taken_words() for the words that extra counts.
+    """
+    met = _planned(docs, weights, cap, block, shards, seed)
+    return met.select(*unpacked(docs.drop(*OWN).columns, "text"), *OWN)
 
 
-def taken_words(mixed: DataFrame, names: list[str], block: int = 16) -> DataFrame:
-    """The mix itself: each document `epochs` times whole, and once more with its extra words (joined by one space unless that is all of them)."""
+def taken_words(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 16, shards: int | None = None, seed: int = 7) -> DataFrame:
+    """The mix itself, with the columns of docs: each document `epochs` times whole, and once more with its extra words
+    (joined by one space unless that is all of them); n_chars, if there, follows the text."""
+    mixed, names = _planned(docs, weights, cap, block, shards, seed), [c for c in docs.columns if c not in OWN]
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     place = F.col("_at") - F.col("_edge")
 
@@ -112,6 +128,5 @@ def taken_words(mixed: DataFrame, names: list[str], block: int = 16) -> DataFram
     part = F.when(F.col("extra") == F.col("size"), F.col("text")).when(F.col("extra") > 0, F.array_join(F.filter(words, chosen), " "))
     copies = F.concat(F.array_repeat(F.lit(True), F.col("epochs").cast("int")), F.when(F.col("extra") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
     out = mixed.withColumn("_whole", F.explode(copies)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select([F.col(f"`{c}`") for c in names])
+    out = out.select(unpacked(names, "text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.store import cut, extended
+from phasegrid.llm.store import cut, extended, packed, unpacked
 from phasegrid.llm.tokens import slices, words_of
 
 FIT_ROWS = 20_000
 #: Sites up to which their table is broadcast (about 100 bytes each).
 FEW_SITES = 50_000
-SALTS = 16
+SALTS = 64
 FEATURES = ("upper", "symbol", "exclaim", "digit", "repeat", "distinct", "length", "marked", "size")
 
 UPPER, DIGIT, SYMBOL = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -127,7 +127,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     rows = docs.select("doc_id", "text", _site(host).alias("_host"), _site(path).alias("_path"))
     seen = cut(rows.mapInArrow(work, extended(rows.drop("text").schema, "x array<double>")), "features")
     truth = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    fit = seen.select("doc_id", "x").join(truth, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "y").collect()
+    told = cut(seen.select("doc_id", "x").join(truth, "doc_id").withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1))), "labelled")
+    few = min(1.0, 2 * FIT_ROWS / max(1, told.select(F.approx_count_distinct("doc_id")).first()[0]))  # a task sends on what could be among the least hashes
+    fit = told.filter(F.col("h") <= int(few * ((1 << 62) - 1))).orderBy("h", "doc_id").limit(FIT_ROWS).select("x", "y").collect()
     y = np.array([r.y for r in fit], float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1), 0.5, None)
@@ -150,17 +152,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
 def score_quality(docs: DataFrame, model: Model, host: str = "source", path: str = "lang") -> DataFrame:
     """docs plus quality_score (probability of good quality) and quality_kept (0.5 or more)."""
     own = ("quality_score", "quality_kept")
-    docs = docs.drop(*own, "_host", "_path", "_salt", "_prior")
+    docs = docs.drop(*own)
     if model.sites is None:
         return docs.withColumn("quality_score", F.lit(0.5)).withColumn("quality_kept", F.lit(True))
-    keyed = docs.withColumn("_host", _site(host)).withColumn("_path", _site(path))
+    keyed = docs.select(packed(docs, "text"), "text", _site(host).alias("_host"), _site(path).alias("_path"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("_salt"))
     if model.sites.count() <= FEW_SITES:
         met = keyed.join(F.broadcast(model.sites), ["_host", "_path"], "left")
     else:
-        salted = model.sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_path", "_salt"], "left").drop("_salt")
-    met = met.drop("_host", "_path")
-    names, usual = docs.columns, float(np.log(model.rate / (1 - model.rate)))
+        met = keyed.join(model.sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_path", "_salt"], "left")
+    met, usual = met.select("row", "text", "_prior"), float(np.log(model.rate / (1 - model.rate)))
     plain = Model(model.center, model.scale, model.weights, model.rate, None)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +169,10 @@ def score_quality(docs: DataFrame, model: Model, host: str = "source", path: str
                 prior = np.nan_to_num(part.column("_prior").to_numpy(zero_copy_only=False).astype(float), nan=usual)
                 odds = plain.log_odds(features_of(part.column("text"))) + prior - usual
                 p = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array(p >= 0.5)], [*names, *own])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(p), pa.array(p >= 0.5)], ["row", "text", *own])
 
-    return met.select([F.col(f"`{c}`") for c in [*names, "_prior"]]).mapInArrow(work, extended(docs.schema, "quality_score double, quality_kept boolean"))
+    made = met.mapInArrow(work, extended(keyed.select("row", "text").schema, "quality_score double, quality_kept boolean"))
+    return made.select(*unpacked(docs.columns, "text"), *own)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:

@@ -23,12 +23,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.llm.blocks import paired_blocks, runs_by_key
 from phasegrid.llm.components import components
-from phasegrid.llm.store import cut, extended
+from phasegrid.llm.store import cut, extended, packed, row_hash
 from phasegrid.llm.tokens import ranges, slices, words_of
 
 #: For each byte, its bits as eight byte-wide counters, the lowest bit in the lowest byte.
@@ -47,7 +47,12 @@ def fingerprints_of(col: pa.Array, shingle: int, seed: int) -> np.ndarray:
     ends = begin[np.minimum(at + shingle, np.repeat(words.doc[1:], n))] - 1
     digest = xxhash.xxh64_digest
     hashes = b"".join(map(digest, map(raw.__getitem__, map(slice, begin[at].tolist(), ends.tolist())), repeat(seed)))
-    lanes = SPREAD[np.frombuffer(hashes, np.uint8).reshape(-1, 8)[:, ::-1]]  # digests are big-endian
+    return majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8)[:, ::-1], n)  # digests are big-endian
+
+
+def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each text, of whose hashes (rows of 8 bytes, the lowest first) there are n, text by text: the bits that over half of them set."""
+    lanes = SPREAD[hashes]
     out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if not len(some):
@@ -195,11 +200,9 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each group of found (doc_id, mark and group of each row of docs) one row, with the smallest doc_id."""
-    names = docs.columns
-    stays = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r"))
-    stays = stays.select(F.col("r.doc_id").alias("__stays_id"), F.col("r.mark").alias("__stays_mark"))
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    met = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays_id")) & (F.col("__mark") == F.col("__stays_mark")))
-    first = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy("text"))
-    return met.withColumn("__first", first).filter("__first = 1").select([F.col(f"`{c}`") for c in names])
+    """The rows of docs that stay: of each group of found (doc_id, mark and group of each row of docs) one row, with the
+    smallest doc_id; of rows with that id and text the one with the least hash of its columns. All columns pass, whatever their names."""
+    stays = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), row_hash(docs).alias("order"))
+    met = rows.join(stays, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")))
+    return met.groupBy("id", "own").agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -11,8 +11,8 @@ Windows of a smaller document win; the covered words merge into maximal interval
 
 Defined results: null text has no words; a null doc_id counts as greater than any other and never
 removes anything; rows that repeat a doc_id do not remove each other's words; fewer words than a
-window: nothing is removed. Other columns are kept as they are; the operator's own columns
-(n_words, n_removed, removed, kept, and _key and _mark on the way) replace any of the same name.
+window: nothing is removed. Other columns are kept as they are, whatever their names; the operator's own
+columns (n_words, n_removed, removed, kept) replace any of the same name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.store import cut, extended
+from phasegrid.llm.store import cut, extended, packed, unpacked
 from phasegrid.llm.tokens import U64, Words, mix, powers, ranges, slices, words_of
 
 LAST = (1 << 63) - 1
@@ -192,13 +192,12 @@ def repeated_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
     """docs (doc_id, text, ...) plus n_words, n_removed (long), removed (intervals of word places, end excluded) and kept (the kept words, joined by one space)."""
     own = ("n_words", "n_removed", "removed", "kept")
-    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in (*own, "_key", "_mark")])
+    docs = docs.drop(*own)
     # the mark tells rows that share a doc_id apart by their text; equal rows have equal results
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_mark", F.xxhash64("text"))
+    marked = docs.select(packed(docs, "text"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_key"), F.xxhash64("text").alias("_mark"))
     found = repeated_runs(marked, window, gram)
     spans = found.groupBy("_key", "_mark").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     joined = marked.join(spans, ["_key", "_mark"], "left").drop("_key", "_mark")
-    names = docs.columns
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +216,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFra
                 kept = np.concatenate([[0], np.cumsum(keep)])[words.doc]
                 raw, off = out.tobytes(), begin[kept]
                 texts = [raw[a : max(a, b - 1)] for a, b in zip(off[:-1], off[1:])]
-                arrays = [part.column(c) for c in names]
+                arrays = [part.column("row"), part.column("text")]
                 arrays += [pa.array(count), pa.array(count - np.diff(kept)), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], SPANS), pa.array(texts, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, *own])
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "text", *own])
 
     SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return joined.mapInArrow(trim, extended(docs.schema, "n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string"))
+    made = joined.mapInArrow(trim, extended(marked.select("row", "text").schema, "n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string"))
+    return made.select(*unpacked(docs.columns, "text"), *own)

@@ -186,7 +186,7 @@ def test_mixing(spark, odd):
         assert all(abs(r.target - want) < 1e-6 * max(1, want) and r.source_size == size[s] for r in mine)
         assert abs(sum(r.taken for r in mine) - want) <= 24
     assert all(r.taken <= 3 * r["size"] for r in got)
-    texts = taken_words(a, ["doc_id", "text", "source", "n_chars"]).collect()
+    texts = taken_words(docs).collect()
     assert sum(len(words(r.text)) for r in texts) == sum(r.taken for r in got)
 
 
@@ -204,25 +204,6 @@ def test_scores(spark, odd):
     assert hpyp.hpyp_scores(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_predictive_sums_to_one():
-    """Over all known words and the unknown one, in every context."""
-    rng = np.random.default_rng(0)
-    c = rng.integers(0, 40, 300)
-    context, word = np.repeat(np.arange(10), 30), np.tile(np.arange(30), 10)
-    s = hpyp.Settings()
-    customers = np.bincount(context, c, hpyp.CONTEXTS)
-    t0 = hpyp.Totals(customers, np.bincount(context, c > 0, hpyp.CONTEXTS).astype(float), 0.6, 0.4, 30)
-    t, m = hpyp.seat(c, context, word, 30, t0, s, rng)
-    assert ((t >= (c > 0)) & (t <= c)).all()
-    tables = np.bincount(context, t, hpyp.CONTEXTS)
-    root = np.where(m > 0, (m - 0.4) / (s.root_strength + tables.sum()), 0)
-    new = (s.root_strength + 0.4 * (m > 0).sum()) / (s.root_strength + tables.sum())
-    for u in range(10):
-        mine = context == u
-        p = (np.maximum(c - 0.6 * t, 0)[mine] + (s.strength + 0.6 * tables[u]) * root[word[mine]]) / (s.strength + customers[u])
-        assert abs(p.sum() + (s.strength + 0.6 * tables[u]) * new / (s.strength + customers[u]) - 1) < 1e-9
-
-
 def test_warc_round_trip(spark):
     big, mid = "<p>" + "x" * 3000, "é" * 400
     rows = [(1, "http://a/1", big), (2, None, big), (3, "http://a/\n3", None), (4, "http://a/4", ""), (5, "u", mid), (6, "u", mid), (7, "u", mid + "é" * 200), (9, "u", mid + "é" * 200), (8, "u", mid + "é" * 200), (None, "u", big), (10, "u", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n")]
