@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm.bpe import bpe_round_trip
-from phasegrid.llm.mixing import mix_sources, taken_words
+from phasegrid.llm.mixing import taken_words
 from phasegrid.llm.near_copies import near_copies
 from phasegrid.llm.quality import classify_quality
 from phasegrid.llm.simhash import one_of_each
@@ -31,9 +31,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id. Near are all pairs whose sets
-    of five-word shingles have a Jaccard similarity of 0.8 or more: SimHash proposes, a prefix join finds what it
-    misses, and every link is checked on the sets."""
+    """One document of each group of near copies stays, the one with the smallest doc_id. Near are pairs whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more: BK-trees over SimHash fingerprints propose them, and
+    every link is checked on the sets. Null and wordless texts are one group; of rows with one doc_id (or none) and
+    one text, one stays."""
     ship(spark)
     return one_of_each(docs, near_copies(docs, shingle=5))
 
@@ -51,7 +52,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a row for each time a document is taken, whole or in part."""
-    return taken_words(mix_sources(docs), docs.columns)
+    return taken_words(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
