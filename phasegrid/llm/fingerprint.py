@@ -28,7 +28,9 @@ MOD = 1 << 32
 HALF = LIKE // 2
 SPACES = r"[\x20\x09-\x0D]+"
 #: Documents in a range of doc_id.
-RANGE_ROWS = 1024
+RANGE_ROWS = 512
+#: Ranges a task takes at most, about.
+TASK_RANGES = 32
 
 
 def _units(text: Column) -> Column:
@@ -103,8 +105,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     firsts = firsts.select("head_id", F.coalesce(F.lag("part").over(one), F.last("part").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("part"))
     heads = docs.join(F.broadcast(firsts), docs.doc_id.eqNullSafe(firsts.head_id)).groupBy("doc_id", "part").agg(F.min("text").alias("text")).withColumn("ghost", F.lit(1))
     w = Window.partitionBy("part").orderBy("ghost", "doc_id", "text")
-    # work on a text costs far more than moving it: as many tasks as the session has shuffle partitions, none merged
-    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # work on a text costs far more than moving it: as many tasks as the session has shuffle partitions, none merged, and some ranges each
+    slots = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranged.count // TASK_RANGES)
     rows = dealt.unionByName(heads).repartition(slots, "part").withColumn("row", F.row_number().over(w)).withColumn("follows", F.lead("text").over(w))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")

@@ -116,7 +116,7 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, roll_byt
     # what a page revisits comes as a row of its own just before it: no join moves the pages
     notes = visits.select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     rows = pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", payload.alias("html"))
-    met = shard(notes.unionAll(rows), "shard").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    met = shard(notes.unionAll(rows), "shard").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shard.count), "shard")
     met = met.sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").isNull(), "url").select("shard", "page_id", "digest", "refers_to", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
