@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from phasegrid.llm.bpe import Codec
-from phasegrid.llm.embed_dedup import Code, code_words, list_decode
+from phasegrid.llm.embed_dedup import Code, code_words, list_decode, rotation
 from phasegrid.llm.html_extract import main_text, min_cut
 from phasegrid.llm.mixing import apportion
 from phasegrid.llm.substring import sliding_min, window_hashes
@@ -70,8 +70,8 @@ def test_list_decoding_finds_all_filters():
     for code in (Code(codes=2, parts=2, codewords=9, height=1.5), Code(codes=1, parts=4, codewords=5, height=1.8), Code(codes=1, parts=1, codewords=30, height=1.2)):
         want = set()
         for k in range(code.codes):
-            turn, words = code_words(code, k, 24)
-            t = v @ turn
+            order, words = code_words(code, k, 24)
+            t = (v @ rotation(code.seed, 24))[:, order]
             for f, choice in enumerate(itertools.product(range(code.codewords), repeat=code.parts)):
                 c = np.concatenate([w[:, j] for w, j in zip(words, choice)])
                 assert abs(np.linalg.norm(c) - 1) < 1e-9
