@@ -58,8 +58,9 @@ def collected(pairs: DataFrame) -> tuple[list[int], list[tuple], list]:
 
 
 def matrix_frame(spark, m: np.ndarray, ids: list[int], unknowns: list, first=None) -> DataFrame:
-    """Long (k, unknown, ifg_idx, w) of a matrix, without zeros; first: a date that is zero for every pixel, as k = -1."""
-    rows = [(i, unknowns[i], ids[j], float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1]) if abs(m[i, j]) > 1e-14]
+    """Long (k, unknown, ifg_idx, w) of a matrix, without zeros; first: a date that is zero for every pixel, as k = -1. With
+    it the zeros stay, so that a pixel with few pairs gets every unknown."""
+    rows = [(i, unknowns[i], ids[j], float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1]) if first is not None or abs(m[i, j]) > 1e-14]
     if first is not None:
         rows += [(-1, first, j, 0.0) for j in ids]
     return spark.createDataFrame(rows, "k int, unknown date, ifg_idx int, w double" if unknowns and hasattr(unknowns[0], "toordinal") else "k int, unknown int, ifg_idx int, w double")
@@ -79,10 +80,16 @@ def with_zero_date(history: DataFrame, first, scale: float = 1.0) -> DataFrame:
 
 
 def invert(stack: DataFrame, pairs: DataFrame, scale: float = 1.0, velocity: bool = False, weighted: bool = False, alpha: float = 0.0, smooth: bool = False, value: str = "phase") -> DataFrame:
-    """Displacement history (prow, pcol, date, defo) of stack (ifg_idx, prow, pcol, phase); weighted: by 1 / √dt; velocity: solve for interval velocities and integrate."""
+    """Displacement history (prow, pcol, date, defo) of stack (ifg_idx, prow, pcol, phase); weighted: by 1 / √dt; velocity: solve for interval velocities and integrate.
+
+    A pair listed twice under one index, or one that doesn't run forward, is an error. Phases of pairs that aren't listed are left out."""
     ids, ends, dates = collected(pairs)
     if not ids:
         return stack.sparkSession.createDataFrame([], "prow int, pcol int, date date, defo double")
+    if len(set(ids)) < len(ids):
+        raise ValueError("an index names several pairs")
+    if any(a >= b for a, b in ends):
+        raise ValueError("a pair must run from an earlier to a later date")
     g = design(ends, dates, velocity)
     w = None
     if weighted:
@@ -185,19 +192,50 @@ def invert_by_correlation(pixels: DataFrame, g: np.ndarray) -> DataFrame:
     return _per_pixel(pixels.select(*PIXEL, "phase", "cor"), g, solve)
 
 
-def invert_l1(pixels: DataFrame, g: np.ndarray, rounds: int = 200) -> DataFrame:
-    """pixels (prow, pcol, phase array): least absolute residuals, by ADMM with a shared factor; a single unknown is an exact weighted median."""
+def l1_solve(g: np.ndarray, phase: np.ndarray, tolerance: float = 1e-6, rounds: int = 20_000) -> np.ndarray:
+    """For each row of phase the x of least Σ|g x - phase|, to a relative duality gap of `tolerance`.
+
+    ADMM on rows scaled by their mean absolute least-squares residual, so that units don't matter. Its scaled multipliers lie
+    in [-1, 1]; made orthogonal to the columns of g they are a dual point, whose value bounds the optimum from below. Rows
+    whose gap is small enough are done; a row that isn't after all rounds raises an error.
+    """
+    pinv = np.linalg.pinv(g)
+    least = phase @ pinv.T
+    size = np.abs(least @ g.T - phase).mean(axis=1)
+    out, open_ = least, np.flatnonzero(size > 1e-13 * np.abs(phase).max(axis=1, initial=0.0))
+    b = phase[open_] / size[open_, None]
+    best, lower = np.full(len(open_), np.inf), np.full(len(open_), -np.inf)
+    z, u = np.zeros_like(b), np.zeros_like(b)
+    for k in range(1, rounds + 1):
+        x = (b + z - u) @ pinv.T
+        r = x @ g.T - b
+        z = np.sign(r + u) * np.maximum(np.abs(r + u) - 1, 0)
+        u = u + r - z
+        if k % 20 and k != rounds:
+            continue
+        value = np.abs(r).sum(axis=1)
+        new = value < best
+        out[open_[new]] = x[new] * size[open_[new], None]
+        best = np.minimum(best, value)
+        y = u - (u @ pinv.T) @ g.T
+        y /= np.maximum(1.0, np.abs(y).max(axis=1))[:, None]
+        lower = np.maximum(lower, -(b * y).sum(axis=1))
+        left = best - lower > tolerance * best
+        if not left.any():
+            return out
+        open_, b, z, u, best, lower = (v[left] for v in (open_, b, z, u, best, lower))
+    if len(open_):
+        raise ArithmeticError(f"{len(open_)} of {len(phase)} pixels miss a gap of {tolerance} after {rounds} rounds")
+    return out
+
+
+def invert_l1(pixels: DataFrame, g: np.ndarray, rounds: int = 20_000, tolerance: float = 1e-6) -> DataFrame:
+    """pixels (prow, pcol, phase array): least absolute residuals; a single unknown is an exact weighted median."""
 
     def solve(g: np.ndarray, phase: np.ndarray) -> np.ndarray:
         if g.shape[1] == 1:
             return np.array([[weighted_median(p / g[:, 0], np.abs(g[:, 0]))] for p in phase])
-        pinv, z, u = np.linalg.pinv(g), np.zeros_like(phase), np.zeros_like(phase)
-        for _ in range(rounds):
-            x = (phase + z - u) @ pinv.T
-            r = x @ g.T - phase
-            z = np.sign(r + u) * np.maximum(np.abs(r + u) - 1, 0)
-            u = u + r - z
-        return x
+        return l1_solve(g, phase, tolerance, rounds)
 
     return _per_pixel(pixels.select(*PIXEL, "phase"), g, solve)
 

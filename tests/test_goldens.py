@@ -82,7 +82,7 @@ def test_l1_ignores_an_outlier(spark, pairs):
     g = invert.design([(DAYS[i], DAYS[j]) for i, j in PAIRS], DAYS)
     bad = list(phases)
     bad[2] += 50
-    x = invert.invert_l1(spark.createDataFrame([(0, 0, bad)], "prow int, pcol int, phase array<double>"), g, 2000).first().x
+    x = invert.invert_l1(spark.createDataFrame([(0, 0, bad)], "prow int, pcol int, phase array<double>"), g).first().x
     assert np.allclose(x, [2, 14, 16], atol=0.05)
 
 
@@ -165,3 +165,55 @@ def test_coherence_of_equal_images_is_one(spark):
     assert all(abs(r.cor - 1) < 1e-5 for r in form.window_coherence(met, 3).collect())
     with pytest.raises(ValueError):
         form.triangle(4)
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1e-3, 1.0, 50.0, 1e5])
+def test_l1_is_optimal_in_any_unit(scale):
+    """At the default settings the objective equals the least over all vertices (points through as many equations as unknowns)."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    ends = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    g = np.array([[(b == k) * 1.0 - (a == k) * 1.0 for k in range(1, 5)] for a, b in ends])
+    truth = rng.standard_normal((20, 4)) * 3
+    phase = truth @ g.T + 0.1 * rng.standard_normal((20, 10))
+    phase[:, 2] += 9 * rng.standard_normal(20)
+    phase[0] = truth[0] @ g.T  # no residual at all
+    phase[1] = 0
+    x = invert.l1_solve(g, phase * scale)
+    corners = [c for c in itertools.combinations(range(10), 4) if abs(np.linalg.det(g[list(c)])) > 0.5]
+    for p, got in zip(phase * scale, x):
+        least = min(np.abs(g @ np.linalg.solve(g[list(c)], p[list(c)]) - p).sum() for c in corners)
+        assert np.abs(g @ got - p).sum() <= least * (1 + 2e-6) + 1e-9 * scale
+
+
+def test_malformed_networks_are_errors(spark):
+    stack = spark.createDataFrame([(0, 0, 0, 1.0)], "ifg_idx int, prow int, pcol int, phase double")
+    schema = "ifg_idx int, early date, late date, dt_days int"
+    d = [dt.date(2020, 1, k) for k in (1, 2, 3)]
+    for rows in ([(0, d[1], d[0], -1)], [(0, d[0], d[0], 0)], [(0, d[0], d[1], 1), (0, d[1], d[2], 1)]):
+        with pytest.raises(ValueError):
+            invert.invert(stack, spark.createDataFrame(rows, schema))
+
+
+@pytest.mark.parametrize("velocity, weighted", [(False, False), (True, False), (False, True)])
+def test_ragged_stacks_against_single_solves(spark, velocity, weighted):
+    """Pixels that lack pairs: each is solved alone, absent phases being 0."""
+    rng = np.random.default_rng(7)
+    d = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in (0, 12, 18, 40, 52)]
+    ends = [(a, b) for i, a in enumerate(d) for b in d[i + 1 :]]
+    pairs = spark.createDataFrame([(10 * k, a, b, (b - a).days) for k, (a, b) in enumerate(ends)], "ifg_idx int, early date, late date, dt_days int")
+    phase = {(10 * k, r, c): float(rng.standard_normal()) for k in range(10) for r in range(3) for c in range(3) if rng.random() < 0.7}
+    stack = spark.createDataFrame([(*k, v) for k, v in phase.items()] + [(0, 9, 9, None), (777, 0, 0, 5.0)], "ifg_idx int, prow int, pcol int, phase double")
+    got = {(r.prow, r.pcol, r.date): r.defo for r in invert.invert(stack, pairs, 2.0, velocity, weighted).collect()}
+    days = np.array([(x - d[0]).days for x in d], float)
+    if velocity:
+        g = np.array([[max(0.0, min(days[k + 1], (b - d[0]).days) - max(days[k], (a - d[0]).days)) for k in range(4)] for a, b in ends])
+    else:
+        g = np.array([[(b == x) * 1.0 - (a == x) * 1.0 for x in d[1:]] for a, b in ends])
+    w = 1 / np.sqrt([(b - a).days for a, b in ends]) if weighted else np.ones(10)
+    for r, c in {k[1:] for k in phase} | {(9, 9)}:
+        p = np.array([phase.get((10 * k, r, c), 0.0) for k in range(10)])
+        x = np.linalg.lstsq(g * w[:, None], p * w, rcond=None)[0]
+        history = np.concatenate([[0.0], np.cumsum(x * np.diff(days)) if velocity else x])
+        assert np.allclose([got[r, c, x] for x in d], 2 * history, atol=1e-9)
