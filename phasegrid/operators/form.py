@@ -51,14 +51,21 @@ def gaussian(sigma: float, reach: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def _spread(images: DataFrame, keys: list[str], axis: str, values: list[str], weights: list[float]) -> DataFrame:
+    """Each value's weighted sum along one axis; places without a pixel of their own get sums too."""
+    cells = F.array(*[F.struct(F.lit(k - len(weights) // 2).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
+    sent = images.select(*keys, *PIXEL, *values, F.explode(cells).alias("_k"))
+    sent = sent.withColumn(axis, F.col(axis) - F.col("_k.d"))
+    return sent.groupBy(*keys, *PIXEL).agg(*[F.sum(F.col("_k.w") * F.col(v)).alias(v) for v in values])
+
+
 def weighted_neighbours(images: DataFrame, keys: list[str], values: list[str], rows: list[float], cols: list[float]) -> DataFrame:
-    """keys, pixel, each value's weighted sum over the window around it, and w, the weights that fell on present pixels. Pixels outside the image count nowhere."""
-    cells = F.array(*[F.struct(F.lit(i - len(rows) // 2).alias("dr"), F.lit(j - len(cols) // 2).alias("dc"), F.lit(a * b).alias("w")) for i, a in enumerate(rows) for j, b in enumerate(cols)])
-    sent = images.select(*keys, *PIXEL, *values, F.explode(cells).alias("k"))
-    sent = sent.select(*keys, (F.col("prow") - F.col("k.dr")).alias("prow"), (F.col("pcol") - F.col("k.dc")).alias("pcol"), F.col("k.w").alias("w"), *values)
-    first = F.col(values[0]).isNotNull()
-    summed = sent.groupBy(*keys, *PIXEL).agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values], F.sum(F.when(first, F.col("w"))).alias("w"))
-    return images.select(*keys, *PIXEL).join(summed, [*keys, *PIXEL])
+    """keys, pixel, each value's weighted sum over the window around it, and w, the weights that fell on present pixels. Pixels outside
+    the image count nowhere. The window is a product, so sums go along rows first and then along columns: a pixel makes
+    as many rows as the window has sides, not cells."""
+    base = images.select(*keys, *PIXEL, *values, F.when(F.col(values[0]).isNotNull(), 1.0).alias("w"))
+    across = _spread(base, keys, "pcol", [*values, "w"], cols)
+    return images.select(*keys, *PIXEL).join(_spread(across, keys, "prow", [*values, "w"], rows), [*keys, *PIXEL])
 
 
 def window_coherence(met: DataFrame, size: int) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasegrid.operators.quality import percentiles
+
 PIXEL = ("prow", "pcol")
 #: Days in a year of rates.
 YEAR = 365.25
@@ -51,8 +53,8 @@ def first_day_atmosphere(fitted: DataFrame, value: str = "value") -> DataFrame:
 
 def residual_weights(fitted: DataFrame, value: str = "value", low: float = 0.02, high: float = 0.98) -> DataFrame:
     """(t, weight): one over the spread of the residuals of each date between two percentiles."""
-    r = F.col("model") - F.col(value)
-    return fitted.groupBy("t").agg((1 / (F.percentile(r, high) - F.percentile(r, low))).alias("weight"))
+    p = percentiles(fitted.select("t", (F.col("model") - F.col(value)).alias("r")), ["t"], "r", [low, high])
+    return p.select("t", (1 / (F.col("p1") - F.col("p0"))).alias("weight"))
 
 
 def weighted_line(series: DataFrame, weights: DataFrame, value: str = "value") -> DataFrame:

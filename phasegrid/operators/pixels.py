@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phasegrid.operators.quality import percentiles
+
 PIXEL = ("prow", "pcol")
 #: Keeps a mean defined where nothing was counted.
 TINY = 1e-6
@@ -34,7 +36,7 @@ def stack_mean(stack: DataFrame, value: str = "value", where: Column | None = No
 
 def auto_threshold(stack: DataFrame, value: str, share: float = 0.6) -> DataFrame:
     """One row: the percentile of the present values, interpolated."""
-    return stack.agg(F.percentile(F.when(~F.isnan(value), F.col(value)), share).alias("threshold"))
+    return percentiles(stack, [], value, [share]).withColumnRenamed("p0", "threshold")
 
 
 def below_threshold_to_zero(stack: DataFrame, weight: str, value: str, threshold: float) -> DataFrame:

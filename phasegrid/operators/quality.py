@@ -31,17 +31,60 @@ def wrapped_coherence(stack: DataFrame) -> DataFrame:
     return stack.groupBy(*PIXEL).agg(phasor_coherence(angle(F.col("re"), F.col("im"))).alias("temp_coh"))
 
 
+#: Bins of the histogram that finds where a percentile lies.
+BINS = 4096
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys, p0, p1, ...: the interpolated percentiles of the present values of each group, exactly.
+
+    No task gets a group: a histogram (combined before the shuffle) tells which bins hold the two ranks that a
+    percentile lies between, and only the distinct values of those bins are sorted. Groups without values have nulls.
+    """
+    present = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    stats = present.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    met = present.join(stats, keys) if keys else present.join(F.broadcast(stats))  # one row without keys
+    bin_ = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BINS), F.lit(BINS - 1))).otherwise(0)
+    met = met.withColumn("_bin", bin_)
+    wants = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(p) * (F.col("_n") - 1)), F.ceil(F.lit(p) * (F.col("_n") - 1))) for p in shares])))
+
+    def ranked(counted: DataFrame, group: list[str], by: str) -> DataFrame:
+        """Rows that hold a wanted rank, and how many values lie before them; at most BINS rows a group, or the values of a few bins."""
+        order = Window.partitionBy(*[F.col(k) for k in group] or [F.lit(0)]).orderBy(by)
+        before = F.coalesce(F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counted.withColumn("_before", before + F.col("_start")).filter(F.exists("_wants", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
+
+    bins = ranked(met.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.first(wants).alias("_wants")).withColumn("_start", F.lit(0)), keys, "_bin")
+    found = met.join(bins.select(*keys, "_bin", F.col("_before").alias("_at"), "_wants"), [*keys, "_bin"])
+    inner = found.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"), F.first("_at").alias("_start"), F.first("_wants").alias("_wants"), F.first("_n").alias("_n"))
+    values = ranked(inner, [*keys, "_bin"], "_v")
+    out = []
+    for k, p in enumerate(shares):
+        place = F.lit(p) * (F.col("_n") - 1)
+
+        def at(rank):
+            return F.max(F.when((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_c")), F.col("_v")))
+
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        share = F.max(place - F.floor(place))
+        out.append((low + (high - low) * share).alias(f"p{k}"))
+    made = values.groupBy(*keys).agg(*out)
+    return rows.select(*keys).distinct().join(made, keys, "left") if keys else made
+
+
 def peak_to_peak(stack: DataFrame, key: str, value: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Range of each image, or between two percentiles of it."""
     if low is None:
         return stack.groupBy(key).agg((F.max(value) - F.min(value)).alias("ptp"))
-    return stack.groupBy(key).agg((F.percentile(value, high) - F.percentile(value, low)).alias("ptp"))
+    p = percentiles(stack, [key], value, [low, high])
+    return p.select(key, (F.col("p1") - F.col("p0")).alias("ptp"))
 
 
 def closure(stack: DataFrame, triplets: DataFrame, value: str = "phase", wrapped: bool = False) -> DataFrame:
-    """φ12 + φ23 - φ13 of each triplet and pixel: each phase goes to its triplets and is summed there with its sign."""
+    """φ12 + φ23 - φ13 of each triplet and pixel: each phase goes to its triplets and is summed there with its sign. Triplets
+    grow with the cube of the dates, so it's left to their size whether they are broadcast."""
     ends = triplets.select("d1", "d2", "d3", F.explode(F.array(F.struct(F.col("i12").alias("ifg_idx"), F.lit(1.0).alias("s")), F.struct(F.col("i23").alias("ifg_idx"), F.lit(1.0).alias("s")), F.struct(F.col("i13").alias("ifg_idx"), F.lit(-1.0).alias("s")))).alias("e")).select("d1", "d2", "d3", "e.*")
-    out = stack.join(F.broadcast(ends), "ifg_idx").groupBy("d1", "d2", "d3", *PIXEL).agg(F.sum(F.col("s") * F.col(value)).alias("closure"), F.count(value).alias("_n")).filter("_n = 3").drop("_n")
+    out = stack.join(ends, "ifg_idx").groupBy("d1", "d2", "d3", *PIXEL).agg(F.sum(F.col("s") * F.col(value)).alias("closure"), F.count(value).alias("_n")).filter("_n = 3").drop("_n")
     return out.withColumn("closure", rewrap(F.col("closure"))) if wrapped else out
 
 

@@ -217,3 +217,22 @@ def test_ragged_stacks_against_single_solves(spark, velocity, weighted):
         x = np.linalg.lstsq(g * w[:, None], p * w, rcond=None)[0]
         history = np.concatenate([[0.0], np.cumsum(x * np.diff(days)) if velocity else x])
         assert np.allclose([got[r, c, x] for x in d], 2 * history, atol=1e-9)
+
+
+def test_percentiles_against_numpy(spark, monkeypatch):
+    """Ties, one value, nulls, infinite spread between bins; with and without groups."""
+    from phasegrid.operators import quality
+
+    monkeypatch.setattr(quality, "BINS", 8)
+    rng = np.random.default_rng(3)
+    groups = {0: rng.standard_normal(500), 1: np.repeat([1.0, 2.0, 5.0], [40, 1, 9]), 2: np.array([3.5]), 3: np.array([1e9, 0, 1e-9, 2e-9, 3e-9]), 4: np.array([])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [(0, None), (1, float("nan")), (4, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    shares = [0.0, 0.02, 0.5, 0.98, 1.0]
+    got = {r.k: [r[f"p{j}"] for j in range(5)] for r in quality.percentiles(df, ["k"], "v", shares).collect()}
+    for k, x in groups.items():
+        want = [float(np.quantile(x, p)) for p in shares] if len(x) else [None] * 5
+        assert got[k] == want if not len(x) else np.allclose(got[k], want, rtol=1e-12, atol=1e-18)
+    every = np.concatenate(list(groups.values()))
+    assert np.allclose(quality.percentiles(df, [], "v", [0.6]).first().p0, np.quantile(every, 0.6))
+    assert quality.percentiles(df.limit(0), [], "v", [0.6]).first().p0 is None
