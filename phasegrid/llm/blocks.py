@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def paired_blocks(rows: DataFrame, keys: list[str], ident: str, most: int) -> DataFrame:
-    """Groups of rows by keys, cut into blocks of about `most` rows, every block meeting every other.
+def paired_blocks(rows: DataFrame, keys: list[str], ident: str, most: int, weight: str | None = None, heavy: int = 1) -> DataFrame:
+    """Groups of rows by keys, cut into blocks of about `most` rows (and of a weight of about `heavy`), every block meeting every other.
 
     A unit is (keys, unit_a, unit_b); its rows come together in one partition, sorted, with side 0
     (block unit_a) or 1 (block unit_b, if another). Groups of one row are left out. A group of n rows
     makes (n / most)² / 2 units of at most about 2 * most rows: each pair meets in just one unit.
     """
-    size = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    dealt = rows.join(size, keys).withColumn("_blocks", F.ceil(F.col("_n") / most).cast("int")).withColumn("_own", F.pmod(F.xxhash64(ident), "_blocks").cast("int"))
+    load = F.sum(weight) / heavy if weight else F.lit(0.0)
+    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"), load.alias("_w")).filter("_n > 1")
+    dealt = rows.join(size, keys).withColumn("_blocks", F.ceil(F.greatest(F.col("_n") / most, F.least("_w", "_n"))).cast("int")).drop("_w").withColumn("_own", F.pmod(F.xxhash64(ident), "_blocks").cast("int"))
     met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     units = met.withColumns({"unit_a": F.least("_own", "_other"), "unit_b": F.greatest("_own", "_other"), "side": F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1)})
     by = [*keys, "unit_a", "unit_b"]

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from phasegrid.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -23,15 +25,16 @@ def test_one_row_a_component_whatever_its_ids(spark):
     assert kept == Counter([(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(6))])
 
 
-def test_stage_against_brute_force_jaccard(spark, monkeypatch):
-    """All pairs at 0.8 or more are linked, those that SimHash doesn't propose too, and no others."""
+@pytest.mark.parametrize("nearest", [1, 2])
+def test_stage_against_brute_force_jaccard(spark, monkeypatch, nearest):
+    """All pairs at 0.8 or more are linked, in shards of several trees too, and no others."""
     import random
 
     import corpus_pipeline
     from phasegrid.llm import near_copies
 
-    monkeypatch.setattr(near_copies, "COMMON_LEAST", 6)
     monkeypatch.setattr(near_copies, "BLOCK", 8)
+    monkeypatch.setattr(near_copies, "NEAREST", nearest)
     rnd = random.Random(4)
     word = lambda: f"t{rnd.randrange(4000)}"
     line = " ".join(word() for _ in range(14))
@@ -57,3 +60,24 @@ def test_stage_against_brute_force_jaccard(spark, monkeypatch):
     want = sorted({union.top(i) for i in range(len(rows))})
     got = corpus_pipeline.near_duplicates(spark, make(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_columns_pass_whatever_their_names(spark):
+    import corpus_pipeline
+
+    names = ["__mark", "mark", "row", "id", "own", "order", "group", "s", "fp", "node"]
+    rows = [(k, text(k // 2)) for k in range(6)]
+    docs = make(spark, rows).selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in names])
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(tuple(r[c] for c in ("doc_id", *names)) for r in got.collect()) == [(k, *(f"{c}{k}" for c in names)) for k in (0, 2, 4)]
+    empty = corpus_pipeline.near_duplicates(spark, docs.limit(0), "")
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{k % 70_000}q{k % 13}" for k in range(150_000))
+    got = corpus_pipeline.near_duplicates(spark, make(spark, [(3, long), (2, long + " more"), (1, long[: len(long) // 2])]), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2]

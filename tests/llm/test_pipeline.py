@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import xxhash
 
 import corpus_pipeline
 from phasegrid.llm.simhash import Union
@@ -51,20 +50,15 @@ def test_quality(spark, stages):
 def test_near_duplicates(stages):
     rows = stages["quality"]
 
-    def bits(t):
+    def shingles(t):
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        s = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [" ".join(w)] * bool(w)
-        if not s:
-            return 0
-        h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in s], np.uint64)
-        on = (np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) * 2) > len(s)
-        return int(np.packbits(on, bitorder="little").view(np.uint64)[0])
-
-    f = [bits(r.text) for r in rows]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    f = [shingles(r.text) for r in rows]
     union = Union(len(f))
     for i in range(len(f)):
         for j in range(i):
-            if (f[i] ^ f[j]).bit_count() <= 3:
+            if 5 * len(f[i] & f[j]) >= 4 * len(f[i] | f[j]):
                 union.join(i, j)
     want = Counter()
     for top in {union.top(i) for i in range(len(f))}:
