@@ -1,4 +1,4 @@
-"""Command line: invert, tracks, reference, masks, subset."""
+"""Command line: invert, tracks, masks, subset, reference, steps."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from phasegrid.plans.workflow import Inversion, model_history, parse_steps, read_jobs, run_inversion
+from phasegrid.plans.workflow import Inversion, find_reference, model_history, parse_steps, read_jobs, run_inversion
 from phasegrid.session import session
 from phasegrid.sources.tables import load, record, save
 
@@ -30,6 +30,10 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_argument("table")
     sub.add_argument("out")
     sub.add_argument("--box", type=float, nargs=4, metavar=("LEFT", "RIGHT", "BOTTOM", "TOP"), required=True)
+    ref = commands.add_parser("reference", help="the reference pixel: a station goes before lat and lon, these before row and col")
+    ref.add_argument("--station")
+    for name, kind in (("lat", float), ("lon", float), ("row", int), ("col", int)):
+        ref.add_argument(f"--{name}", type=kind)
     commands.add_parser("steps").add_argument("text")
     a = top.parse_args(argv)
     if a.command == "steps":
@@ -48,6 +52,9 @@ def main(argv: list[str] | None = None) -> int:
         for name, df in out.items():
             save(df, a.root, f"out_{name}", "overwrite")
         record(spark, a.root, vars(a))
+    elif a.command == "reference":
+        stations = load(spark, a.root, "stations") if a.station else None
+        print(find_reference(load(spark, a.root, "grid"), a.station, a.lat, a.lon, a.row, a.col, stations))
     elif a.command == "masks":
         load(spark, a.root, "masks").groupBy("prow", "pcol").agg(F.sum(F.col("masked").cast("int")).alias("depth")).filter(F.col("depth") >= a.least).show()
     elif a.command == "subset":

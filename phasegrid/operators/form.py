@@ -109,6 +109,21 @@ def structure_tensor(images: DataFrame, keys: list[str], value: str = "value", s
     return s.select(*keys, *PIXEL, l1.alias("l1"), l2.alias("l2"), F.coalesce(F.try_divide(F.pow(l1 - l2, 2), F.pow(l1 + l2, 2)), F.lit(0.0)).alias("coherence"))
 
 
+def hessian(images: DataFrame, keys: list[str], value: str = "value", sigma: float = 1.0, reach: int = 2) -> DataFrame:
+    """Eigenvalues l1 ≥ l2 of the smoothed image's second differences (central differences of central differences), where
+    all pixels two steps away are there; reach 0 doesn't smooth."""
+    w = gaussian(sigma, reach)
+    smooth = weighted_neighbours(images, keys, [value], w, w).select(*keys, *PIXEL, F.try_divide(F.col(value), F.col("w")).alias("v")) if reach else images.select(*keys, *PIXEL, F.col(value).alias("v"))
+    taps = {(0, 0): (-0.5, -0.5, 0.0), (2, 0): (0.25, 0.0, 0.0), (-2, 0): (0.25, 0.0, 0.0), (0, 2): (0.0, 0.25, 0.0), (0, -2): (0.0, 0.25, 0.0)}
+    taps |= {(i, j): (0.0, 0.0, 0.25 * i * j) for i in (1, -1) for j in (1, -1)}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.lit(x).alias(n) for n, x in zip(("rr", "cc", "rc"), ws)]) for (i, j), ws in taps.items()])
+    sent = smooth.filter("v is not null").select(*keys, *PIXEL, "v", F.explode(cells).alias("_k"))
+    sent = sent.withColumns({"prow": F.col("prow") - F.col("_k.i"), "pcol": F.col("pcol") - F.col("_k.j")})
+    s = sent.groupBy(*keys, *PIXEL).agg(F.count("*").alias("_n"), *[F.sum(F.col(f"_k.{n}") * F.col("v")).alias(n) for n in ("rr", "cc", "rc")]).filter(F.col("_n") == len(taps))
+    root = F.sqrt(F.pow(F.col("rr") - F.col("cc"), 2) + 4 * F.col("rc") * F.col("rc"))
+    return s.select(*keys, *PIXEL, ((F.col("rr") + F.col("cc") + root) / 2).alias("l1"), ((F.col("rr") + F.col("cc") - root) / 2).alias("l2"))
+
+
 def line_votes(points: DataFrame, angles: int, step: float) -> DataFrame:
     """Hough accumulator (theta index, rho index, votes) of points (prow, pcol): each point votes once an angle."""
     a = F.explode(F.sequence(F.lit(0), F.lit(angles - 1)))

@@ -157,3 +157,11 @@ def coordinates(stack: DataFrame, y_first: float, y_step: float, x_first: float,
 
 def half_pixel_shift(stack: DataFrame, y_step: float, x_step: float) -> DataFrame:
     return stack.withColumns({"lat": F.col("lat") - 0.5 * abs(y_step), "lon": F.col("lon") + 0.5 * x_step})
+
+
+def extremes(images: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, least and greatest value of each image and their pixels (low_row, low_col, high_row, high_col); ties go to the first row and column."""
+    v = F.when(~F.isnan(value), F.col(value))
+    low, high = F.min(F.when(v.isNotNull(), F.struct(v.alias("v"), *PIXEL))), F.min(F.when(v.isNotNull(), F.struct((-v).alias("v"), *PIXEL)))
+    e = images.groupBy(*keys).agg(low.alias("_l"), high.alias("_h"))
+    return e.select(*keys, F.col("_l.v").alias("low"), F.col("_l.prow").alias("low_row"), F.col("_l.pcol").alias("low_col"), (-F.col("_h.v")).alias("high"), F.col("_h.prow").alias("high_row"), F.col("_h.pcol").alias("high_col"))

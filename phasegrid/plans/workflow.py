@@ -50,6 +50,49 @@ def block_shape(depth: int, rows: int, cols: int, chunk: tuple[int, int], item:
     return r, c
 
 
+@dataclass(frozen=True)
+class Reference:
+    row: int
+    col: int
+    lat: float
+    lon: float
+    station: str = ""
+
+
+def find_reference(grid: DataFrame, station: str | None = None, lat: float | None = None, lon: float | None = None, row: int | None = None, col: int | None = None, stations: DataFrame | None = None) -> Reference:
+    """The reference pixel of a grid (prow, pcol, lat, lon), regular or radar geometry: a station's place goes before lat and
+    lon, these before row and col. The nearest pixel is taken, of equally near ones the first; nothing usable is an error."""
+    if station is not None:
+        place = stations.filter(F.col("name") == station).select("lat", "lon").first() if stations is not None else None
+        if place is None:
+            raise ValueError(f"no station {station}")
+        lat, lon = place
+    if lat is not None and lon is not None:
+        d = F.pow(F.col("lat") - lat, 2) + F.pow(F.col("lon") - lon, 2)
+        found = grid.agg(F.min(F.struct(d.alias("d"), "prow", "pcol", "lat", "lon")).alias("b")).first().b  # combined on the map side
+        if found is None:
+            raise ValueError("the grid is empty")
+        return Reference(found.prow, found.pcol, lat, lon, station or "")
+    if row is not None and col is not None:
+        found = grid.filter((F.col("prow") == row) & (F.col("pcol") == col)).select("lat", "lon").first()
+        if found is None:
+            raise ValueError(f"no pixel ({row}, {col})")
+        return Reference(row, col, found.lat, found.lon)
+    raise ValueError("need a station, or lat and lon, or row and col")
+
+
+def redo_reference(stack: DataFrame, reference: Reference, order: int | None = None, window: int = 5, layer: str = "ifg_idx", value: str = "phase") -> tuple[DataFrame, dict]:
+    """The stack deramped (if an order is given) and shifted to another reference window, and the attributes that tell so."""
+    out = pixels.deramp(stack, layer, value, order) if order else stack
+    told = {"reference": [reference.row, reference.col], "reference_latlon": [reference.lat, reference.lon], "reference_window": window, "reference_station": reference.station}
+    return pixels.reference_shift(out, layer, value, reference.row, reference.col, window), told
+
+
+def reference_by_elevation(stack: DataFrame, dem: DataFrame, looks: int = 1, where=None, layer: str = "ifg_idx", value: str = "phase") -> tuple[DataFrame, dict]:
+    """The stack without each layer's line over elevation, and the attributes: no pixel is the reference."""
+    return pixels.elevation_trend(stack, dem, layer, value, looks, where), {"reference": [-1, -1], "reference_latlon": [0.0, 0.0], "reference_window": 0, "reference_station": ""}
+
+
 @dataclass
 class Prepare:
     order: int = 1

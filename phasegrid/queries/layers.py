@@ -374,3 +374,30 @@ def axis_tiles_and_decibel(spark, sf):
     from phasegrid.operators.geo import tiles_of_axis
 
     return six(table(spark, sf, "part").select(F.col("p_partkey").alias("name"), tiles_of_axis(F.col("p_size") * 40).alias("tiles"), ph.decibel(F.col("p_retailprice")).alias("decibel")), "decibel")
+
+
+@query(f"""WITH {IMAGES}, t AS (SELECT a.date, a.prow, a.pcol, b.prow - a.prow AS i, b.pcol - a.pcol AS j, b.value AS v FROM images a JOIN images b ON b.date = a.date AND abs(b.prow - a.prow) <= 2 AND abs(b.pcol - a.pcol) <= 2),
+s AS (SELECT date, prow, pcol, sum(CASE WHEN j = 0 AND abs(i) = 2 THEN v / 4 WHEN i = 0 AND j = 0 THEN -v / 2 ELSE 0 END) AS rr, sum(CASE WHEN i = 0 AND abs(j) = 2 THEN v / 4 WHEN i = 0 AND j = 0 THEN -v / 2 ELSE 0 END) AS cc,
+      sum(CASE WHEN abs(i) = 1 AND abs(j) = 1 THEN i * j * v / 4 ELSE 0 END) AS rc FROM t WHERE prow BETWEEN 2 AND 5 AND pcol BETWEEN 2 AND 5 GROUP BY 1, 2, 3)
+SELECT date, prow, pcol, round((rr + cc + sqrt(power(rr - cc, 2) + 4 * rc * rc)) / 2, 6) + 0.0 AS l1, round((rr + cc - sqrt(power(rr - cc, 2) + 4 * rc * rc)) / 2, 6) + 0.0 AS l2 FROM s""")
+def hessian_eigenvalues(spark, sf):
+    return six(form.hessian(images(spark, sf), ["date"], reach=0), "l1", "l2")
+
+
+@query(f"""WITH {IMAGES} SELECT date, round(min(value), 6) + 0.0 AS low, arg_min(prow, (value, prow, pcol)) AS low_row, arg_min(pcol, (value, prow, pcol)) AS low_col,
+round(max(value), 6) + 0.0 AS high, arg_min(prow, (-value, prow, pcol)) AS high_row, arg_min(pcol, (-value, prow, pcol)) AS high_col FROM images GROUP BY 1""")
+def image_extremes(spark, sf):
+    return six(pixels.extremes(images(spark, sf), ["date"], "value"), "low", "high")
+
+
+@query(f"""WITH {STACK_E}, grid AS (SELECT DISTINCT prow, pcol, 40 - CAST(0.5 AS DOUBLE) * prow + CAST(0.01 AS DOUBLE) * pcol AS lat, -100 + CAST(0.4 AS DOUBLE) * pcol AS lon FROM stack_e),
+ref AS (SELECT arg_min(prow, (power(lat - 39.6, 2) + power(lon + 98.9, 2), prow, pcol)) AS r, arg_min(pcol, (power(lat - 39.6, 2) + power(lon + 98.9, 2), prow, pcol)) AS c FROM grid),
+m AS (SELECT ifg_idx, avg(phase) AS m FROM stack_e, ref WHERE abs(prow - r) <= 1 AND abs(pcol - c) <= 1 GROUP BY 1)
+SELECT ifg_idx, prow, pcol, round(phase - m, 6) + 0.0 AS phase FROM stack_e LEFT JOIN m USING (ifg_idx)""")
+def redone_reference(spark, sf):
+    """Another reference, given by its place: found in the grid, then every layer is shifted to it."""
+    from phasegrid.plans.workflow import find_reference, redo_reference
+
+    s = stack_e(spark, sf)
+    grid = s.select(*PX).distinct().select(*PX, (40 - 0.5 * F.col("prow") + 0.01 * F.col("pcol")).alias("lat"), (-100 + 0.4 * F.col("pcol")).alias("lon"))
+    return six(redo_reference(s, find_reference(grid, lat=39.6, lon=-98.9), window=3)[0].select("ifg_idx", *PX, "phase"), "phase")

@@ -22,6 +22,11 @@ def save(df: DataFrame, root: str, name: str, exists: str = "error", by: list[st
     return True
 
 
+def save_csv(df: DataFrame, root: str, name: str, by: list[str]) -> None:
+    """A small report (rows a station and date) as CSV with a header, sorted."""
+    df.orderBy(*by).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
