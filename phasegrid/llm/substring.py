@@ -4,9 +4,10 @@ Every window of `window` consecutive words gets a Rabin-Karp hash. Windows are d
 anchor: of the `gram`-word runs inside the window, the one with the least hash. Equal windows have
 equal anchors, so all windows that could be equal meet under one anchor, while neighbouring windows
 mostly share theirs and travel as one row (a run of 48-bit hashes beside a 64-bit anchor) instead of
-one row each. A count of all anchors comes first: those that hold more than a hundred-thousandth of
-all anchors (at most 100,000 exist) are dealt out window by window through grouped minima, which
-combine before the shuffle, so no task ever gets all windows of a passage that many documents share.
+one row each. A count of all anchors comes first: those with more than HOT_LEAST runs are dealt out
+window by window through grouped minima, which combine before the shuffle, so no task ever gets all
+windows of a passage that many documents share. A bitmap of bounded size says which anchors these are; an
+anchor that shares a bit with one of them takes that way too, with the same result.
 Windows of a smaller document win; the covered words merge into maximal intervals.
 
 Defined results: null text has no words; a null doc_id counts as greater than any other and never
@@ -28,8 +29,10 @@ from phasegrid.llm.store import cut, extended, packed, unpacked
 from phasegrid.llm.tokens import U64, Words, mix, powers, ranges, slices, words_of
 
 LAST = (1 << 63) - 1
-#: Anchors with more runs than this, and than HOT_SHARE of all, take the way by single windows.
-HOT_LEAST, HOT_SHARE = 4000, 1e-5
+#: Anchors with more runs than this take the way by single windows, at every size of the corpus.
+HOT_LEAST = 4000
+#: Bits of the map that tells them, at most (32 MB).
+MAP_BITS = 1 << 28
 
 
 def window_hashes(words: Words, size: int, seed: int) -> np.ndarray:
@@ -97,6 +100,17 @@ def _covered(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
 
 
+def _hot_map(hot: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap (8 bits a byte) over the low bits of the anchors, with 16 bits an anchor up to MAP_BITS, and its length."""
+    bits = min(MAP_BITS, max(1 << 16, 1 << (16 * hot.count()).bit_length()))
+    place = F.col("anchor").bitwiseAND(F.lit(bits - 1))
+    made = hot.select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in made.collect():  # 4 kB for 32,768 bits
+        out[r.bucket << 12 : (r.bucket + 1) << 12] = np.frombuffer(r.map, np.uint8)
+    return out, bits
+
+
 def repeated_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Runs of windows whose words also start in a smaller document: (_key, _mark, start, n)."""
     spark = docs.sparkSession
@@ -109,9 +123,8 @@ def repeated_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     anchors = docs.select("text").mapInArrow(counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     anchors = cut(anchors.filter("n > 1"), "anchors")
-    total = anchors.agg(F.sum("n")).first()[0] or 0
-    hot = sorted(r[0] for r in anchors.filter(F.col("n") > max(HOT_LEAST, total * HOT_SHARE)).select("anchor").collect())
-    told = spark.sparkContext.broadcast(np.array(hot, np.int64))  # at most 1 / HOT_SHARE values
+    hot, bits = _hot_map(anchors.filter(F.col("n") > HOT_LEAST))
+    told = spark.sparkContext.broadcast(hot)  # bits / 8 bytes
 
     def runs(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
         hot = told.value
@@ -120,7 +133,8 @@ def repeated_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 r = runs_of(words_of(part.column("text")), window, gram)
                 key, mark = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_mark"))
                 anchor = r["anchor"].view(np.int64)
-                mine = np.isin(anchor, hot) == single
+                at_bit = anchor & (bits - 1)
+                mine = (hot[at_bit >> 3] >> (at_bit & 7) & 1) == single
                 if single:
                     first = np.cumsum(r["n"]) - r["n"]
                     n = r["n"][mine]
@@ -181,7 +195,7 @@ def repeated_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     rows = docs.select("text", "_key", "_mark")
     cold = rows.mapInArrow(lambda b: runs(b, False), "anchor long, _key long, _mark long, start int, hashes binary")
     found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "_key long, _mark long, start int, n int")
-    if hot:
+    if hot.any():
         single = cut(rows.mapInArrow(lambda b: runs(b, True), "anchor long, hash long, _key long, _mark long, start int"), "hot")
         least = single.groupBy("anchor", "hash").agg(F.min("_key").alias("least"), F.max("_key").alias("most")).filter("least < most")
         later = single.join(least, ["anchor", "hash"]).filter("_key > least").select("_key", "_mark", "start", F.lit(1).alias("n"))

@@ -115,3 +115,14 @@ def test_apportionment_by_highest_quotients(spark, seats):
         best = max((k for k in votes if votes[k]), key=lambda k: votes[k] / (2 * want[k] + 1))
         want[best] += 1
     assert got == want
+
+
+def test_hot_anchors_by_bitmap(spark):
+    from phasegrid.llm import substring
+
+    anchors = [int(x) for x in np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 5000)]
+    hot, bits = substring._hot_map(spark.createDataFrame([(a,) for a in anchors[:1000]], "anchor long"))
+    place = np.array(anchors) & (bits - 1)
+    told = hot[place >> 3] >> (place & 7) & 1
+    assert told[:1000].all() and told[1000:].mean() < 0.1
+    assert not substring._hot_map(spark.createDataFrame([], "anchor long"))[0].any()
