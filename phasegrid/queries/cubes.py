@@ -44,6 +44,12 @@ def six(df: DataFrame, *columns: str) -> DataFrame:
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def release() -> None:
+    """Forgets all cubes: the next query reads the tables again."""
+    while _kept:
+        _kept.popitem()[1].unpersist()
+
+
 def kept(build: Query) -> Query:
     """Derived cubes (aggregates of the tables, small beside them) are made once a session and folder and persisted, as a plan uses them in several places."""
 

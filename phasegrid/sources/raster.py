@@ -69,10 +69,12 @@ class Written(WriterCommitMessage):
 
 
 class RasterWriter(DataSourceWriter):
-    """Each task holds whole images (repartition by path first); files appear under their names at commit."""
+    """Each task holds whole images (repartition by path first); files appear under their names at commit. Options width and length
+    give the shape; without them it's that of the pixels there are. Pixels that aren't there are zero."""
 
     def __init__(self, options: dict) -> None:
         self.folder, self.kind = options["path"], KINDS[options.get("kind", "float32")]
+        self.shape = tuple(int(options[k]) if k in options else None for k in ("length", "width"))
 
     def write(self, rows) -> list | WriterCommitMessage:
         import uuid
@@ -85,7 +87,7 @@ class RasterWriter(DataSourceWriter):
         names = []
         for name, cells in held.items():
             a = np.array(cells)
-            shape = int(a[:, 0].max()) + 1, int(a[:, 1].max()) + 1
+            shape = tuple(given or int(a[:, k].max()) + 1 for k, given in enumerate(self.shape))
             image = np.zeros(shape, self.kind[0])
             image[a[:, 0].astype(int), a[:, 1].astype(int)] = a[:, 2]
             tmp = f"{folder}/.{name}.{uuid.uuid4().hex}"
