@@ -25,7 +25,8 @@ def pair_slopes(series: DataFrame, key: str, low: float | None = None, high: flo
     met = a.join(b, on).filter("x2 > x1").withColumn("span", F.col("x2") - F.col("x1"))
     if low is not None:
         met = met.filter(F.col("span").between(low, high))
-    return met.select(key, ((F.col("y2") - F.col("y1")) / F.col("span")).alias("slope"), "span")
+    # a null condition on the slope may be pushed below the filter: no error for equal x then
+    return met.select(key, F.try_divide(F.col("y2") - F.col("y1"), F.col("span")).alias("slope"), "span")
 
 
 def median_of(sorted_values: Column) -> Column:
