@@ -69,6 +69,12 @@ def cut_at(df: DataFrame, what: str = "cut") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def drop(table: DataFrame) -> None:
+    """Deletes a table made by cut(), which nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        drop_path(table.sparkSession, path)
+
+
 def settled(df: DataFrame, what: str = "cut") -> DataFrame:
     """cut(), after which the shuffle files that made it go: a phase's disk is its own, not the sum over all phases."""
     out = cut(df, what)
