@@ -24,7 +24,8 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and wordless texts are judged like any other; without usable labels all
+    stay, and of an empty table nothing comes. Rows that repeat are judged alike."""
     ship(spark)
     judged = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.filter("quality_kept").select(docs.columns)
@@ -40,7 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of 50-word windows that a smaller document holds too go; other documents keep their text as it is."""
+    """Words of 50-word windows that a smaller document holds too go; other documents keep their text as it is (null stays null).
+    A null doc_id counts as the greatest; rows that share a doc_id remove nothing from each other."""
     ship(spark)
     trimmed = substring_dedup(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
@@ -51,12 +53,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row for each time a document is taken, whole or in part."""
+    """Sources at their target weights: a row for each time a document is taken, whole or in part. Texts without words are never
+    taken; the null source is one of its own; the same rows in any order give the same mix."""
     return taken_words(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed, little-endian unsigned 32-bit integers), and the text decoded from them."""
+    """Token ids (packed, little-endian unsigned 32-bit integers), and the text decoded from them; null text has none and decodes to
+    the empty one. Columns other than doc_id, source and lang end here."""
     ship(spark)
     out = bpe_round_trip(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path(VOCABULARY))
     return out.select("doc_id", "source", "lang", (F.octet_length("ids_packed") / 4).cast("long").alias("n_tokens"), "ids_packed", F.col("decoded").alias("text"))
