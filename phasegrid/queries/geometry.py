@@ -84,7 +84,7 @@ def rowcol_of_latlon(spark, sf):
 @query(f"WITH {STATIONS}, {PLACES}, d AS (SELECT st.name, pl.name AS prow, CAST(pl.c_nationkey AS BIGINT) AS pcol, power(st.lat - pl.lat, 2) + power(st.lon - pl.lon, 2) AS d FROM st, pl) SELECT name, arg_min(prow, (d, prow, pcol)) AS prow, arg_min(pcol, (d, prow, pcol)) AS pcol, round(sqrt(min(d)), 6) + 0.0 AS distance FROM d GROUP BY 1")
 def nearest_pixel(spark, sf):
     grid = _places(spark, sf).select(F.col("name").alias("prow"), F.col("c_nationkey").cast("bigint").alias("pcol"), "lat", "lon")
-    return six(geo.nearest(_stations(spark, sf), grid, 1.0), "distance")
+    return six(geo.nearest(_stations(spark, sf), grid), "distance")
 
 
 @query("SELECT s_suppkey AS name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
