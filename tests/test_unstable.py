@@ -64,3 +64,15 @@ def test_linear_velocity_and_sigma(series, solved):
     got = {r.prow: (r.slope, r.intercept, r.sigma) for r in line.collect()}
     _, slope, intercept, sigma, _ = solved
     assert {p: pytest.approx((slope[p], intercept[p], sigma)) for p in range(PIXELS)} == got
+
+
+def test_model_without_atmosphere(series, value, solved):
+    first = dt.date(2024, 1, 1)
+    day = F.date_add(F.lit(first), F.col("t").cast("int")).alias("date")
+    got = {(r.prow, r.t): r.value for r in model_history(series.select("prow", "pcol", day, F.col("value").alias("defo")))["model"].collect()}
+    _, slope, intercept, _, line = solved
+    t = 3.0 * np.arange(DATES)
+    gap = line[0][:, None] + line[1][:, None] * t - value
+    atmo = -(gap[:, 1:] - gap[:, :1]).mean(1)
+    want = intercept[:, None] + slope[:, None] * t - atmo[:, None]
+    assert {(p, t[k]): pytest.approx(want[p, k]) for p in range(PIXELS) for k in range(DATES)} == got
