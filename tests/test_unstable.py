@@ -76,3 +76,8 @@ def test_model_without_atmosphere(series, value, solved):
     atmo = -(gap[:, 1:] - gap[:, :1]).mean(1)
     want = intercept[:, None] + slope[:, None] * t - atmo[:, None]
     assert {(p, t[k]): pytest.approx(want[p, k]) for p in range(PIXELS) for k in range(DATES)} == got
+
+
+def test_residual_weights(series, solved):
+    got = {r.t: r.weight for r in model.residual_weights(model.line_values(series)).collect()}
+    assert {3.0 * k: pytest.approx(solved[0][k]) for k in range(DATES)} == got
