@@ -125,9 +125,8 @@ SELECT o_orderkey, mission, 'IW' AS mode, 'SLC' AS product, CAST(strptime(d, '%Y
 def products_of_path(spark, sf):
     o = table(spark, sf, "orders")
     name = F.format_string("%s_IW_SLC__1SDV_%sT004512_%sT004539_%06d_00A1B2_C3D4.SAFE", F.when(F.col("o_orderkey") % 2 == 0, "S1A").otherwise("S1B"), F.date_format("o_orderdate", "yyyyMMdd"), F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_orderkey") % 60000 + 10000)
-    p = parse_products(o.select(name.alias("name")), path=78)
-    keys = o.select(name.alias("name"), "o_orderkey")
-    return keys.join(p, "name").select("o_orderkey", "mission", "mode", "product", "date", "path")
+    p = parse_products(o.select(name.alias("name"), "o_orderkey"), path=78, keep=("o_orderkey",))  # orders may share a name
+    return p.select("o_orderkey", "mission", "mode", "product", "date", "path")
 
 
 @query("SELECT p_partkey AS id, 'p_' || p_size || '_x.tif' AS replaced, p_size AS n_kept FROM part")

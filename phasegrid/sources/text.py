@@ -73,9 +73,10 @@ def raster_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     return files.select("path", early.alias("early"), late.alias("late")).filter("early is not null").orderBy("early", "late")
 
 
-def parse_products(names: DataFrame, column: str = "name", path: int | None = None) -> DataFrame:
-    """Satellite products by name: mission, mode, product, resolution, date, orbit, path; names of other form are left out."""
-    p = names.select(column, *product_fields(F.col(column))).filter("mission <> ''")
+def parse_products(names: DataFrame, column: str = "name", path: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Satellite products by name: mission, mode, product, resolution, date, orbit, path, and the columns to keep; one row a row of
+    names, equal names included, but names of other form are left out."""
+    p = names.select(*keep, column, *product_fields(F.col(column))).filter("mission <> ''")
     p = p.withColumn("date", F.to_date("day", "yyyyMMdd")).withColumn("path", relative_orbit(F.col("mission"), F.col("orbit"))).drop("day")
     return p.filter(F.col("path") == path) if path is not None else p
 

@@ -1,5 +1,7 @@
 """Nearest pixels: however far, whichever way they are searched."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 
@@ -24,3 +26,14 @@ def test_nearest_is_that_of_all_pairs(spark, monkeypatch, block):
 def test_no_pixels_no_rows(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0)], "name long, lat double, lon double")
     assert geo.nearest(points, spark.createDataFrame([], "prow long, pcol long, lat double, lon double")).collect() == []
+
+
+def test_orders_that_share_a_name_stay_single(spark, tmp_path):
+    from phasegrid.queries import QUERIES
+
+    # keys 60,000 apart have one satellite and orbit; 301 is on another path
+    day, other = dt.datetime(1996, 1, 2), dt.datetime(1996, 1, 3)
+    keys = [(300, day), (60_300, day), (120_300, day), (180_300, other), (79, day), (60_079, day), (650, day), (301, day)]
+    spark.createDataFrame(keys, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    want = sorted((k, "S1B" if k % 2 else "S1A", "IW", "SLC", d.date(), 78) for k, d in keys[:-1])
+    assert sorted(tuple(r) for r in QUERIES["products_of_path"](spark, str(tmp_path)).collect()) == want
