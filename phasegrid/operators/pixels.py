@@ -14,6 +14,8 @@ from phasegrid.operators.quality import percentiles
 PIXEL = ("prow", "pcol")
 #: Keeps a mean defined where nothing was counted.
 TINY = 1e-6
+#: Share of a sum of squares that elimination must leave; less is rounding, and pixels don't determine the term.
+LEFT = 1e-12
 
 
 def pair_mask(pairs: DataFrame, masks: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def basis(order: int) -> list[Column]:
 
 
 def ramp_fit(stack: DataFrame, layer: str, value: str, order: int = 1, where: Column | None = None, least: int = 0) -> DataFrame:
-    """Least-squares coefficients c0, c1, ... of each layer, from the present values (where told); layers with fewer than `least` of them are left out."""
+    """Least-squares coefficients c0, c1, ... of each layer, from the present values (where told); layers with fewer than `least` of them are left out, and where they don't determine a ramp (too few, in a line) its coefficients are null."""
     ok = F.col(value).isNotNull() & ~F.isnan(value)
     rows = stack.filter(ok & where if where is not None else ok)
     b = basis(order)
@@ -86,21 +88,23 @@ def ramp_fit(stack: DataFrame, layer: str, value: str, order: int = 1, where: Co
         for i in range(k + 1, n):
             for j in range(k + 1, n + 1):
                 new[(i, j)] = f"s{k}_{i}_{j}"
-        s = s.withColumns({new[ij]: F.col(cell[ij]) - F.try_divide(F.col(cell[(ij[0], k)]), F.col(cell[(k, k)])) * F.col(cell[(k, ij[1])]) for ij in new})
+        s = s.withColumn(f"p{k}", F.when(F.col(cell[(k, k)]) > LEFT * F.col(f"a{k}_{k}"), F.col(cell[(k, k)])))
+        s = s.withColumns({new[ij]: F.col(cell[ij]) - F.col(cell[(ij[0], k)]) / F.col(f"p{k}") * F.col(cell[(k, ij[1])]) for ij in new})
         cell |= new
     for i in reversed(range(n)):
         rest = F.col(cell[(i, n)])
         for j in range(i + 1, n):
             rest = rest - F.col(cell[(i, j)]) * F.col(f"c{j}")
-        s = s.withColumn(f"c{i}", F.try_divide(rest, F.col(cell[(i, i)])))
+        s = s.withColumn(f"c{i}", rest / F.col(f"p{i}"))
     return s.select(layer, *[f"c{i}" for i in range(n)])
 
 
-def deramp(stack: DataFrame, layer: str, value: str, order: int = 1, where: Column | None = None) -> DataFrame:
-    """Every layer minus its ramp, which is fitted where told and subtracted everywhere."""
+def deramp(stack: DataFrame, layer: str, value: str, order: int = 1, where: Column | None = None, how: str = "left") -> DataFrame:
+    """Every layer minus its ramp, which is fitted where told and subtracted everywhere. Layers whose pixels don't determine a ramp
+    become null; those without any pixel to fit too, or (how="inner") are left out."""
     fit = ramp_fit(stack, layer, value, order, where)
     model = sum((F.col(f"c{i}") * t for i, t in enumerate(basis(order))), F.lit(0.0))
-    return stack.join(F.broadcast(fit), layer, "left").withColumn(value, F.col(value) - model).drop(*[f"c{i}" for i in range(len(basis(order)))])
+    return stack.join(F.broadcast(fit), layer, how).withColumn(value, F.col(value) - model).drop(*[f"c{i}" for i in range(len(basis(order)))])
 
 
 def elevation_trend(stack: DataFrame, dem: DataFrame, layer: str, value: str, looks: int = 1, where: Column | None = None) -> DataFrame:
