@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasegrid.functions.phase import ambiguity, angle, rewrap
+from phasegrid.session import made_once
 
 PIXEL = ("prow", "pcol")
 
@@ -40,11 +41,10 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float
 
     No task gets a group: a histogram (combined before the shuffle) tells which bins hold the two ranks that a
     percentile lies between, and only the distinct values of those bins are sorted. Groups without values have nulls.
-    The rows are made once and kept by the executors, as all passes must see the same values: sums of doubles differ in
-    their last bits each time that they are made, and a least value that moves leaves its bin. Rows lost with an executor
-    are an error, not made anew.
+    The rows are made once and kept, as all passes must see the same values: sums of doubles differ in their last bits
+    each time that they are made, and a least value that moves leaves its bin.
     """
-    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).localCheckpoint()
+    rows = made_once(rows.select(*keys, F.col(value).cast("double").alias("_v")))
     present = rows.filter("_v is not null and not isnan(_v)")
     stats = present.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     met = present.join(stats, keys) if keys else present.join(F.broadcast(stats))  # one row without keys

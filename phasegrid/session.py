@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -44,3 +44,10 @@ def ship(spark: SparkSession) -> None:
         f.write(raw.getvalue())
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def made_once(df: DataFrame) -> DataFrame:
+    """The rows as they come out now, for plans that read them several times and need the same bits. They lie in spark.checkpoint.dir,
+    which all executors share (spark.cleaner.referenceTracking.cleanCheckpoints deletes them with the DataFrame); where it is unset
+    there is one copy on the executors, and to lose one of these is an error."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()

@@ -81,3 +81,11 @@ def test_model_without_atmosphere(series, value, solved):
 def test_residual_weights(series, solved):
     got = {r.t: r.weight for r in model.residual_weights(model.line_values(series)).collect()}
     assert {3.0 * k: pytest.approx(solved[0][k]) for k in range(DATES)} == got
+
+
+def test_rows_lie_in_the_shared_folder_where_there_is_one(spark, series, value, monkeypatch, tmp_path):
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: str(tmp_path))
+    seen = []
+    monkeypatch.setattr(type(series), "checkpoint", lambda df: seen.append(1) or df.localCheckpoint())
+    got = {r.t: r.p0 for r in quality.percentiles(series, ["t"], "value", [0.5]).collect()}
+    assert seen and {3.0 * k: pytest.approx(float(np.median(value[:, k]))) for k in range(DATES)} == got
